@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textquern.llm import bpe, fingerprints, licenses, packing, quality, toxicity
+from textquern.llm import bpe, fingerprints, licenses, packing, quality, simhash, toxicity
 from textquern.llm.common import table
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edits(table(spark, sf_dir, "documents"))
 
@@ -35,5 +39,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_fingerprints, op4_toxicity, op6_licenses, op7_quality, op9_bpe, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_fingerprints, op4_toxicity, op6_licenses, op7_quality, op9_bpe, op10_packing)}
 ORACLE: dict[str, str] = {}
