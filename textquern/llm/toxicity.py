@@ -183,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) ->
         return fit_counts([{}] * (n0 + n1), np.array([0] * n0 + [1] * n1), **options)
     rate = F.log((F.col("k1") + 0.5) / (n1 + 1) / ((F.col("k0") + 0.5) / (n0 + 1)))
     lift = rate - 4 * F.sqrt(1 / (F.col("k1") + 0.5) + 1 / (F.col("k0") + 0.5))
-    kept = frequencies.where((F.length("word") > 0) & (lift > -1)).orderBy(F.desc(lift), "word").limit(2 * VOCABULARY).collect()
+    kept = frequencies.where((F.length("word") > 0) & (lift > 0)).orderBy(F.desc(lift), "word").limit(VOCABULARY).collect()
     words_kept = {bytes(r.word) for r in kept}
 
     def thin(batches):
