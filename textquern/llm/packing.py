@@ -33,10 +33,13 @@ from textquern.llm.common import arrow_map, texts
 
 #: Pieces that wait for a place, in each partition.
 WINDOW = 256
-#: Most remembered words, in each Python worker.
-WORDS = 300_000
-SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
+#: Most remembered words, and most parts of words, in each Python worker.
+WORDS = 600_000
+#: What only the tokenizer itself normalises and cuts as it should.
 _RARE = re.compile("[\\x1c-\\x1f\\u0130-\\U0010ffff]")
+_LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u012f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: The tokenizer's pattern, for lower-case text below U+0130.
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
 
 
 @dataclass(frozen=True)
@@ -49,9 +52,11 @@ class Limits:
 
 
 class WordTokenizer:
-    """A tokenizer that drops white space and lowers case, with a memory of words.
+    """A tokenizer that drops white space and lowers case, with a memo of words and of their parts.
 
-    Pieces between white space are encoded independently of each other, so their ids can be kept.
+    Words (between white space), and the parts that the tokenizer's own pattern cuts them into, are
+    encoded independently of each other, so their ids can be kept. Parts that are new are encoded in
+    one call, whose ids are cut after each token that ends a part.
     """
 
     def __init__(self, path: str):
@@ -60,23 +65,43 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, parts: list[str]) -> None:
+        if len(self.parts) + len(parts) > WORDS:
+            self.parts.clear()
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(parts):  # not how the vocabulary ends parts: one by one
+            self.parts.update((p, self._whole(p)) for p in parts)
+            return
+        packed, cuts = ids.tobytes(), (4 * cuts).tolist()
+        self.parts.update(zip(parts, map(packed.__getitem__, map(slice, [0, *cuts[:-1]], cuts))))
 
     def packed(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if _RARE.search(text):
-            words = [w for w in SPACE.split(text) if w]
-        else:  # below U+0130 lower() goes letter by letter and nothing composes
-            words = text.lower().split()
-        known = self.known
-        found = [known.get(w) for w in words]
+            return self._whole(text)
+        # below U+0130 lower() goes letter by letter, nothing composes, and split() cuts at White_Space
+        words = text.lower().split()
+        found = list(map(self.words.get, words))
         if None in found:
-            missing = list({w for w, f in zip(words, found) if f is None})
-            fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False))}
+            missing = {w: _PARTS.findall(w) for w, f in zip(words, found) if f is None}
+            new = {p for parts in missing.values() for p in parts if p not in self.parts}
+            if len(self.words) + len(missing) > WORDS:
+                self.words.clear()
+            if new:
+                self._learn(sorted(new))
+            fresh = {w: b"".join([self.parts.get(p) or self._whole(p) for p in parts]) for w, parts in missing.items()}
+            self.words.update((w, f) for w, f in fresh.items() if len(w) <= 64)
             found = [f if f is not None else fresh[w] for w, f in zip(words, found)]
-            if len(known) + len(fresh) > WORDS:
-                known.clear()
-            known.update((w, f) for w, f in fresh.items() if len(w) <= 64)
         return b"".join(found)
 
 
