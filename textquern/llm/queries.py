@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textquern.llm import bpe, fingerprints, licenses, packing, quality, simhash, toxicity
+from textquern.llm import bpe, fingerprints, licenses, packing, pii, quality, simhash, toxicity
 from textquern.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -39,5 +43,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_fingerprints, op4_toxicity, op6_licenses, op7_quality, op9_bpe, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_fingerprints, op4_toxicity, op6_licenses, op7_quality, op8_pii, op9_bpe, op10_packing)}
 ORACLE: dict[str, str] = {}
