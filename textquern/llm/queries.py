@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textquern.llm import bpe, fingerprints, licenses, packing, pii, quality, simhash, toxicity
+from textquern.llm import bpe, embeddings, fingerprints, licenses, packing, pii, quality, simhash, toxicity, urlfilter
 from textquern.llm.common import table
 
 
@@ -17,11 +17,20 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edits(table(spark, sf_dir, "documents"))
 
 
+def op3_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urlfilter.evaluate(urlfilter.dated_captures(pages), urlfilter.sample_list(pages))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digests(table(spark, sf_dir, "documents"))
 
@@ -43,5 +52,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_fingerprints, op4_toxicity, op6_licenses, op7_quality, op8_pii, op9_bpe, op10_packing)}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash, op2_fingerprints, op3_urlfilter, op4_toxicity, op5_embeddings,
+        op6_licenses, op7_quality, op8_pii, op9_bpe, op10_packing,
+    )
+}
+ORACLE: dict[str, str] = {"op3_urlfilter": urlfilter.SQL}
