@@ -1,4 +1,6 @@
 """All queries of the library and, where SQL can express them, their DuckDB twins."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from textquern.plans import corpus_queries, label_queries, learning_queries, vector_queries
+from textquern.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "corpus_queries", "label_queries", "learning_queries", "vector_queries"]
