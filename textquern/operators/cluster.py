@@ -228,4 +228,4 @@ def tree(centres: DataFrame, roots: int = 8) -> DataFrame:
         out += [(n, None, depth) for n in sorted(level)]
         return pd.DataFrame({"node": [o[0] for o in out], "parent": pd.array([o[1] for o in out], "Int64"), "depth": [o[2] for o in out]})
 
-    return centres.groupBy(F.lit(1)).applyInPandas(run, "node long, parent long, depth long")
+    return centres.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(run, "node long, parent long, depth long")

@@ -391,7 +391,7 @@ def multi(x, y, fit: Callable | None = None, probability: bool = False) -> Multi
 def per_group(rows: DataFrame, keys: list[str], work: Callable[[tuple, np.ndarray, np.ndarray, pd.DataFrame], pd.DataFrame], schema: str, features: str = "features", target: str = "y") -> DataFrame:
     """`work(key, x, y, rows)` for each group of rows with an array of features; one problem a task."""
 
-    def run(key, p: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         return work(key, np.stack(p[features].to_numpy()).astype(float), p[target].to_numpy(), p)
 
     return rows.groupBy(*keys).applyInPandas(run, schema)
