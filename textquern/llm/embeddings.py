@@ -139,7 +139,7 @@ def link_counts(distinct: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
                         ["cid", "n", "embedding", "codes"],
                     )
 
-    coded = cut(arrow_map(distinct.select("cid", "n", "embedding"), hashed, "cid long, n long, embedding array<float>, codes array<long>"))
+    coded = cut(arrow_map(distinct.select("cid", "n", "embedding"), hashed, f"cid long, n long, embedding {dict(distinct.dtypes)['embedding']}, codes array<long>"))
     places = coded.select("cid", F.explode("codes").alias("key"))
     sizes = places.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = places.join(sizes, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))

@@ -187,7 +187,7 @@ def find(docs: DataFrame, **options) -> DataFrame:
 def redact(docs: DataFrame, **options) -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets; n_chars, where it is there, is counted anew."""
     spans = all_spans(docs, **options).select("key", _tagged((*KINDS, "id")).alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["key"])
-    text = F.col("text")
+    text = F.col("_row.text")
 
     def merge(out: Column, s: Column) -> Column:
         last = F.element_at(out, -1)
@@ -198,7 +198,7 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     merged = F.aggregate("_spans", F.array().cast("array<struct<start:int,end:int,kind:string>>"), merge)
     before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("_merged", i - 1)["end"])
     pieces = F.transform("_merged", lambda s, i: F.concat(F.substring(text, before(i) + 1, s["start"] - before(i)), F.lit("<"), F.upper(s["kind"]), F.lit(">")))
-    tail = F.expr("substring(text, element_at(_merged, -1).end + 1)")
-    rows = docs.withColumn("_key", _key()).join(spans.withColumnRenamed("key", "_key"), "_key", "left").withColumn("_merged", F.when(F.col("_spans").isNotNull(), merged))
+    tail = F.expr("substring(_row.text, element_at(_merged, -1).end + 1)")
+    rows = docs.select(F.struct("*").alias("_row"), _key().alias("_key")).join(spans.withColumnRenamed("key", "_key"), "_key", "left").withColumn("_merged", F.when(F.col("_spans").isNotNull(), merged))
     done = rows.withColumn("_new", F.when(F.col("_merged").isNotNull(), F.concat(F.array_join(pieces, ""), tail)).otherwise(text))
-    return done.select(*(F.col("_new").alias(c) if c == "text" else F.length("_new").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    return done.select(*(F.col("_new").alias(c) if c == "text" else F.length("_new").cast("long").alias(c) if c == "n_chars" else F.col(f"_row.`{c}`") for c in docs.columns))
