@@ -6,13 +6,13 @@ the expected severity (their mean, 0 to 3) and whether the text is taken for tox
 at least THRESHOLD.
 
 Labels only say toxic or not, so the grades of toxic training rows are made from them: words that
-the labelled sample associates with toxicity (a smoothed log ratio of document frequencies, by prefixes) are
+the labelled sample associates with toxicity (by prefixes) are
 counted, and the counts of 0-2, 3-5 and more are the grades 1, 2 and 3. Label noise remains as it is.
 
 Features: words (runs of letters, digits and bytes beyond ASCII of the lowered text) and their
 prefixes of 4 to 7 bytes, as insults take endings; each with log(1 + occurrences), and once more where
-it occurs three times and in over one word of 200. A feature is selected if the log ratio of its document frequencies is at
-least four standard errors above zero.
+it occurs three times and in over one word of 200. A feature is selected by the likelihood ratio of its document
+frequencies (RATIO, SURE).
 
 Edge cases: a null text counts as empty and has no features; repeated rows are scored each; with no
 labelled row of a class the thresholds only express the share of the grades; other columns pass or
@@ -41,6 +41,8 @@ THRESHOLD = 0.5
 #: Most words whose features a worker remembers; then it starts anew.
 MEMO = 200_000
 GRADES = 4
+#: A feature is selected if it is RATIO times as common in toxic texts and the root of its likelihood ratio statistic is at least SURE.
+RATIO, SURE = 2.0, 4.5
 
 
 def words(text: str) -> list[bytes]:
@@ -122,6 +124,14 @@ def _minimise(x, y, grades: int, l2: float, rounds: int = 400):
     return theta[:width], tuple(float(t) for t in np.concatenate([[theta[width]], theta[width] + np.cumsum(gaps)]))
 
 
+def _root(k1: int, k0: int, n1: int, n0: int) -> float:
+    """The root of the likelihood ratio statistic of a feature in k1 of n1 toxic and k0 of n0 clean texts; 0 if it isn't RATIO times as common in toxic ones."""
+    if k1 * n0 < RATIO * k0 * n1:
+        return 0.0
+    share = n1 / (n0 + n1)
+    return float(np.sqrt(max(0.0, 2 * (k1 * np.log(k1 / (share * (k0 + k1))) + (k0 * np.log(k0 / ((1 - share) * (k0 + k1))) if k0 else 0.0)))))
+
+
 def fit_counts(rows: list[dict[bytes, int]], toxic: np.ndarray, l2: float = 5e-5, vocabulary: int = VOCABULARY) -> ToxicityModel:
     """Fit on the word counts of labelled texts."""
     n1 = int(toxic.sum())
@@ -135,26 +145,21 @@ def fit_counts(rows: list[dict[bytes, int]], toxic: np.ndarray, l2: float = 5e-5
         if len(r) < 8 or key not in known:  # copies of a text are one witness
             seen[t].update(r.keys())
         known.add(key)
-    # how sure it is that the word goes with toxicity: a log ratio less four standard errors, as many words are tried
-    lift = {}
-    for w, k in seen[1].items():
-        if k >= max(3, n1 // 500):
-            a, b = (k + 0.5) / (n1 + 1), (seen[0][w] + 0.5) / (n0 + 1)
-            lift[w] = np.log(a / b) - 4 * np.sqrt(1 / (k + 0.5) + 1 / (seen[0][w] + 0.5))
-    chosen = sorted((w for w in lift if lift[w] > 0), key=lambda w: (-lift[w], w))[:vocabulary]
+    # how sure it is that a feature goes with toxicity: the root of its likelihood ratio statistic
+    lift = {w: root for w, k in seen[1].items() if (root := _root(k, seen[0][w], n1, n0)) >= SURE}
+    chosen = sorted(lift, key=lambda w: (-lift[w], w))[:vocabulary]
     strong = {w for w in chosen if w[-1:] not in b"$#"}
     hits = np.array([max((sum(k for w, k in r.items() if w in strong and len(w) == size) for size in range(4, 8)), default=0) for r in rows])
     y = np.where(toxic == 1, 1 + (hits >= 3) + (hits >= 6), 0).astype(int)
     number = {w: i for i, w in enumerate(chosen)}
-    scale = np.array([min(1.0, 0.25 + lift[w]) for w in chosen]) if chosen else np.zeros(0)
     indptr, indices, values = [0], [], []
     for r in rows:
         for w in sorted(r.keys() & number.keys()):
             indices.append(number[w])
-            values.append(scale[number[w]] * np.log1p(r[w]))
+            values.append(np.log1p(r[w]))
         indptr.append(len(indices))
     weights, thresholds = _minimise((np.array(indptr), np.array(indices, int), np.array(values), len(chosen)), y, GRADES, l2)
-    return ToxicityModel({w: float(weights[i] * scale[i]) for w, i in number.items()}, thresholds)
+    return ToxicityModel({w: float(weights[i]) for w, i in number.items()}, thresholds)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) -> ToxicityModel:
@@ -181,9 +186,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) ->
     n0, n1 = total[0] or 0, total[1] or 0
     if not n0 or not n1:
         return fit_counts([{}] * (n0 + n1), np.array([0] * n0 + [1] * n1), **options)
-    rate = F.log((F.col("k1") + 0.5) / (n1 + 1) / ((F.col("k0") + 0.5) / (n0 + 1)))
-    lift = rate - 4 * F.sqrt(1 / (F.col("k1") + 0.5) + 1 / (F.col("k0") + 0.5))
-    kept = frequencies.where((F.length("word") > 0) & (lift > 0)).orderBy(F.desc(lift), "word").limit(VOCABULARY).collect()
+    share = n1 / (n0 + n1)
+    k0, k1 = F.col("k0"), F.col("k1")
+    g = 2 * (k1 * F.log(k1 / (share * (k0 + k1))) + F.when(k0 > 0, k0 * F.log(k0 / ((1 - share) * (k0 + k1)))).otherwise(0.0))
+    likely = (F.length("word") > 0) & (k1 > 0) & (k1 * n0 >= RATIO * k0 * n1) & (g >= SURE**2)
+    kept = frequencies.where(likely).orderBy(F.desc(g), "word").limit(VOCABULARY).collect()
     words_kept = {bytes(r.word) for r in kept}
 
     def thin(batches):
