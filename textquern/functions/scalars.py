@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 #: Tags of nouns, adjectives and foreign words, which carry a text's terms.
 KEEP_TAGS = ("NNPS", "JJ", "FW", "JJR", "NNS", "NNP", "NN")
 #: Tags that concept matching leaves out.
-DROP_TAGS = (
-    "CC", "CD", "DT", "EX", "IN", "LS", "MD", "PDT", "POS", "PRP", "PRP$", "RB", "RBR", "RBS", "RP", "SYM", "TO", "UH",
-    "VB", "VBD", "VBG", "VBN", "VBP", "VBZ", "WDT", "WP", "WP$", "WRB", ".", ",",
-)
+DROP_TAGS = tuple(
+    "# $ '' `` , . : -LRB- -RRB- CC CD DT EX IN MD PDT POS PRP PRP$ TO UH VB VBD VBN VBP VBZ WDT WP WP$ WRB".split()
+)
 
 
 def tokens(text: Column | str) -> Column:

@@ -7,8 +7,30 @@ from pyspark.sql import functions as F
 
 from textquern.functions import scalars
 
-#: Labels that describe who is studied rather than what.
-CHECK_TAGS = ("humans", "animals", "male", "female", "adult", "aged", "child", "infant", "adolescent", "middle aged", "young adult", "mice", "rats", "pregnancy")
+#: Countries, by continent.
+COUNTRIES = """
+algeria angola benin botswana burkina_faso burundi cameroon cape_verde central_african_republic chad comoros congo cote_d'ivoire djibouti
+egypt equatorial_guinea eritrea ethiopia gabon gambia ghana guinea guinea-bissau kenya lesotho liberia libya madagascar malawi mali
+mauritania mauritius morocco mozambique namibia niger nigeria rwanda senegal seychelles sierra_leone somalia south_africa sudan
+swaziland tanzania togo tunisia uganda zambia zimbabwe
+afghanistan armenia azerbaijan bahrain bangladesh bhutan brunei cambodia china georgia_(republic) india indonesia iran iraq israel
+japan jordan kazakhstan korea kuwait kyrgyzstan laos lebanon malaysia mongolia myanmar nepal oman pakistan philippines qatar
+republic_of_korea saudi_arabia singapore sri_lanka syria taiwan tajikistan thailand timor-leste turkey turkmenistan united_arab_emirates
+uzbekistan vietnam yemen hong_kong macau
+albania andorra austria belgium bosnia-herzegovina bulgaria belarus croatia cyprus czech_republic denmark estonia finland france germany
+greece hungary iceland ireland italy kosovo latvia liechtenstein lithuania luxembourg macedonia_(republic) malta moldova monaco montenegro
+netherlands norway poland portugal romania russia san_marino serbia slovakia slovenia spain sweden switzerland ukraine united_kingdom
+england scotland wales great_britain northern_ireland vatican_city
+bahamas barbados belize canada costa_rica cuba dominica dominican_republic el_salvador grenada guatemala haiti honduras jamaica mexico
+nicaragua panama puerto_rico saint_lucia trinidad_and_tobago united_states argentina bolivia brazil chile colombia ecuador french_guiana
+guyana paraguay peru suriname uruguay venezuela
+australia fiji kiribati micronesia nauru new_caledonia new_zealand palau papua_new_guinea samoa solomon_islands tonga tuvalu vanuatu
+"""
+#: Labels that say who was studied and where rather than what.
+CHECK_TAGS = (
+    "humans", "animals", "swine", "male", "female", "infant", "child, preschool", "child", "adolescent", "young adult", "adult", "middle aged", "aged", "aged, 80 and over",
+    *(c.replace("_", " ") for c in COUNTRIES.split()),
+)
 
 
 def document_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -24,6 +46,7 @@ def basket_labels(lineitem: DataFrame) -> DataFrame:
 
 
 def without_check_tags(pairs: DataFrame, tags=CHECK_TAGS) -> DataFrame:
+    """Pairs whose label isn't a check tag, whatever its case; an in-list of a fixed size, so nothing is joined."""
     return pairs.where(~F.lower("label").isin(*tags))
 
 
