@@ -258,6 +258,8 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     assert (counted[exact] == links.sum(axis=1)[exact]).all()
     assert [got[10_200 + k].component_id for k in range(8)] == [10_200, 10_201, 10_202, 10_203, 10_204, 10_205, 10_206, 10_206]
     assert embeddings.near_groups(df.limit(0)).count() == 0
+    twice = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.1]), (2, [1.0, 0.1]), (None, [0.1, 1.0])], "vec_id long, embedding array<double>")
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id) for r in embeddings.near_groups(twice).collect()) == [(0, 1, 1), (1, 1, 1), (1, 2, 1), (2, 2, 1), (2, 2, 1)]
 
 
 # ---- 6

@@ -16,7 +16,8 @@ own; no task holds more than two blocks of a bucket at once, and no member is dr
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components are linked with
 nothing; vectors of different lengths never meet; repeated rows and copies count as links of each
 other; rows without a vec_id count as partners and have a null component unless a linked row has an
-id; other columns are ignored.
+id; rows that share a vec_id but not a vector are
+vectors of their own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -83,7 +84,7 @@ def codes(unit: np.ndarray) -> np.ndarray:
 
 
 def classes(vectors: DataFrame) -> DataFrame:
-    """(embedding, cid, n): the distinct usable vectors with their least vec_id (cid numbers the class) and count."""
+    """(embedding, least, n): the distinct usable vectors with their least vec_id and count."""
     usable = (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
     return vectors.where(F.col("embedding").isNotNull()).where(usable).groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
 
@@ -207,8 +208,8 @@ def link_counts(distinct: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
 def near_groups(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    # classes are numbered by their least vec_id; a class of rows without one, by a hash below zero
-    distinct = cut(classes(rows).withColumn("cid", F.coalesce("least", -1 - F.abs(F.shiftright(F.xxhash64("embedding"), 1)))))
+    # numbers are given over a checkpoint, so a task that is run again gives the same; vec_ids needn't be unique
+    distinct = cut(cut(classes(rows)).withColumn("cid", F.monotonically_increasing_id()))
     sums, links = link_counts(distinct, threshold)
     roots = components(links)
     named = distinct.join(sums, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select(
