@@ -22,16 +22,21 @@ def tokenize(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", F.posexplode(scalars.tokens(F.coalesce(text, F.lit("")))).alias("pos", "term"))
 
 
-def weighted_counts(docs: DataFrame, title_weight: int = TITLE_WEIGHT, stemmed: bool = False) -> DataFrame:
-    """(doc_id, term, tf): occurrences in the body plus `title_weight` times those in the title."""
-    parts = titled(docs)
-    rows = parts.select("doc_id", F.explode(F.concat(
-        F.transform(scalars.tokens("title"), lambda t: F.struct(t.alias("term"), F.lit(title_weight).alias("w"))),
-        F.transform(scalars.tokens("body"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("w"))),
-    )).alias("t")).select("doc_id", "t.term", "t.w")
+def weighted_counts(docs: DataFrame, title_weight: int = TITLE_WEIGHT, stemmed: bool = False, with_length: bool = False) -> DataFrame:
+    """(doc_id, term, tf): occurrences in the body plus `title_weight` times those in the title.
+
+    `with_length` adds the document's length dl, which its own row knows before any shuffle.
+    """
+    parts = titled(docs).select("doc_id", scalars.tokens("title").alias("title"), scalars.tokens("body").alias("body"))
+    keys = ["doc_id", "dl"] if with_length else ["doc_id"]
+    length = (F.size("title") * title_weight + F.size("body")).cast("long")
+    rows = parts.withColumn("dl", length).select(*keys, F.explode(F.concat(
+        F.transform("title", lambda t: F.struct(t.alias("term"), F.lit(title_weight).alias("w"))),
+        F.transform("body", lambda t: F.struct(t.alias("term"), F.lit(1).alias("w"))),
+    )).alias("t")).select(*keys, "t.term", "t.w")
     if stemmed:
-        rows = stem_terms(rows).select("doc_id", F.col("stem").alias("term"), "w")
-    return rows.groupBy("doc_id", "term").agg(F.sum("w").alias("tf"))
+        rows = stem_terms(rows).select(*keys, F.col("stem").alias("term"), "w")
+    return rows.groupBy(*keys, "term").agg(F.sum("w").alias("tf"))
 
 
 def doc_freq(counts: DataFrame) -> DataFrame:
@@ -41,6 +46,8 @@ def doc_freq(counts: DataFrame) -> DataFrame:
 
 def doc_length(counts: DataFrame) -> DataFrame:
     """(doc_id, dl)."""
+    if "dl" in counts.columns:
+        return counts.select("doc_id", "dl").distinct()
     return counts.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
 
 
@@ -53,10 +60,10 @@ def corpus_stats(counts: DataFrame, exact_avgdl: bool = False) -> DataFrame:
 def weigh(counts: DataFrame, weight: str = "tfidf", exact_avgdl: bool = False) -> DataFrame:
     """(doc_id, term, weight): TF-IDF or BM25.
 
-    The document length is a window over the doc_id partitions of the counts; the corpus statistics
-    are one row and the only broadcast.
+    Counts that carry the document length need no shuffle for it; for others it is a window by doc_id.
+    The corpus statistics are one row and the only broadcast.
     """
-    lengths = counts.withColumn("dl", F.sum("tf").over(Window.partitionBy("doc_id")))
+    lengths = counts if "dl" in counts.columns else counts.withColumn("dl", F.sum("tf").over(Window.partitionBy("doc_id")))
     rows = lengths.join(doc_freq(counts), "term").join(F.broadcast(corpus_stats(counts, exact_avgdl)))
     value: Column
     if weight == "tfidf":

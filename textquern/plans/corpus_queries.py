@@ -17,6 +17,10 @@ def _counts(read):
     return text.weighted_counts(read("documents"))
 
 
+def _weigh(read, weight: str):
+    return text.weigh(text.weighted_counts(read("documents"), with_length=True), weight)
+
+
 def _r(name: str):
     return F.round(name, 6).alias(name)
 
@@ -48,23 +52,23 @@ def corpus_stats(read):
 
 @query(f"WITH {TFIDF} SELECT doc_id, term, round(weight, 6) AS weight FROM weights")
 def tfidf(read):
-    return text.weigh(_counts(read), "tfidf").select("doc_id", "term", _r("weight"))
+    return _weigh(read, "tfidf").select("doc_id", "term", _r("weight"))
 
 
 @query(f"WITH {BM25} SELECT doc_id, term, round(weight, 6) AS weight FROM weights")
 def bm25(read):
-    return text.weigh(_counts(read), "bm25").select("doc_id", "term", _r("weight"))
+    return _weigh(read, "bm25").select("doc_id", "term", _r("weight"))
 
 
 @query(f"""WITH {TFIDF} SELECT doc_id, rank, term, round(weight, 6) AS weight FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 9) DESC, term) AS INTEGER) AS rank FROM weights) WHERE rank <= 10""")
 def top_terms_per_doc(read):
-    return text.top_terms(text.weigh(_counts(read), "tfidf")).select("doc_id", "rank", "term", _r("weight"))
+    return text.top_terms(_weigh(read, "tfidf")).select("doc_id", "rank", "term", _r("weight"))
 
 
 @query(f"WITH {TFIDF} SELECT term, doc_id, round(weight, 6) AS weight FROM weights WHERE term <> ''")
 def inverted_index(read):
-    return text.inverted_index(text.weigh(_counts(read), "tfidf")).select("term", "doc_id", _r("weight"))
+    return text.inverted_index(_weigh(read, "tfidf")).select("term", "doc_id", _r("weight"))
 
 
 @query("""SELECT unnest(string_split(lower(p_name) || ';' || lower(p_type), ';')) AS term, count(*) AS n FROM part GROUP BY 1""")
