@@ -34,7 +34,7 @@ from textquern.llm.common import arrow_map, texts
 #: Pieces that wait for a place, in each partition.
 WINDOW = 256
 #: Most remembered words, and most parts of words, in each Python worker.
-WORDS = 600_000
+WORDS = 400_000
 #: What only the tokenizer itself normalises and cuts as it should.
 _RARE = re.compile("[\\x1c-\\x1f\\u0130-\\U0010ffff]")
 _LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u012f", "0-9\xb2\xb3\xb9\xbc-\xbe"
