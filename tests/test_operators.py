@@ -209,6 +209,28 @@ def test_svm_on_frames(spark, blobs):
     assert out.count() == 225 and models.count() == 3
 
 
+def test_svm_tools(spark, blobs):
+    from pyspark.ml.linalg import Vectors
+
+    from textquern.operators import svm_tools
+
+    x, y = blobs
+    rows = spark.createDataFrame([(1.0 if k else -1.0, Vectors.dense(v)) for v, k in zip(x[:50].tolist(), y[:50].tolist())], ["label", "features"])
+    out = svm_tools.predict(rows, svm_tools.train(rows))
+    assert svm_tools.evaluate(out, False).first().accuracy > 0.97
+    line = spark.createDataFrame([(2.0 * t / 10, Vectors.dense([t / 10])) for t in range(30)], ["label", "features"])
+    fit = svm_tools.predict(line, svm_tools.train(line, "epsilon_svr", c=10.0, epsilon=0.05))
+    assert svm_tools.evaluate(fit, True).first().r2 > 0.99
+    with pytest.raises(ValueError):
+        svm_tools.train(rows, "other")
+
+
+def test_concept_rank(spark):
+    tagged = topics.tag(spark.createDataFrame([(1, "A cell and a ring of the cell.")], "doc_id long, text string"))
+    entries = topics.dictionary(spark.createDataFrame([("cell",), ("ring",), ("and",)], "term string"))
+    assert sorted(r.phrase for r in topics.concept_rank(tagged, entries).collect()) == ["cell", "ring"]
+
+
 def test_grow_until_stops():
     assert classify.grow_until(lambda n: (n, n / 10), range(1, 20))[2] == 10
     assert not math.isnan(classify.ALPHA)

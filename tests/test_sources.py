@@ -63,3 +63,14 @@ def test_stream(spark, tmp_path):
     events = spark.sql("SELECT timestamp'2024-01-01 00:30:00' ts, 'a' event_type, 2.0D value UNION ALL SELECT timestamp'2024-01-01 00:40:00', 'a', 3.0D")
     assert [(r.n, r.total) for r in windowed_counts(events).collect()] == [(2, 5.0)]
 
+
+
+def test_cached(spark, tmp_path):
+    calls = []
+
+    def compute():
+        calls.append(1)
+        return spark.range(3)
+
+    assert corpus.cached(spark, str(tmp_path), "k", compute).count() == corpus.cached(spark, str(tmp_path), "k", compute).count() == 3
+    assert len(calls) == 1

@@ -183,6 +183,13 @@ def match_concepts(tokens: DataFrame, entries: DataFrame, similar: float = 30.0)
     return tokens.join(kept, "term").select("doc_id", "pos", F.col("term").alias("token"), "concept")
 
 
+def concept_rank(tagged: DataFrame, entries: DataFrame) -> DataFrame:
+    """(doc_id, phrase, score) of tagged documents: the dictionary concepts of tokens outside the drop list, ranked like topics."""
+    kept = F.filter(F.transform("tokens", lambda t, i: F.struct(i.alias("pos"), F.lower(t["token"]).alias("term"), t["pos"].alias("tag"))), lambda t: ~t["tag"].isin(*scalars.DROP_TAGS))
+    tokens = tagged.select("doc_id", F.explode(kept).alias("t")).select("doc_id", "t.pos", "t.term")
+    return topic_rank(match_concepts(tokens, entries).select("doc_id", F.col("concept").alias("phrase"), "pos"))
+
+
 def tool_concepts(lines: DataFrame) -> DataFrame:
     """(doc_id, concept, n) of tool output (doc_id, line): the values of u'term': u'...' entries."""
     found = F.regexp_extract_all("line", F.lit(r"u'term': u'([^']*)'"), F.lit(1))

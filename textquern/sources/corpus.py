@@ -97,6 +97,15 @@ def read_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/model_centroid"), spark.read.parquet(f"{path}/model_labels")
 
 
+def cached(spark: SparkSession, folder: str, key: str, compute) -> DataFrame:
+    """`compute()`'s rows, kept under a key such as a model's fingerprint and read again the next time."""
+    path = f"{folder}/key={key}"
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
+        compute().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 # ---- text formats of training rows
 def to_sparse_line(features: Column | str, y: Column | str) -> Column:
     """`(index,weight) ... y` of an array of (index, weight) and a target."""
