@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -49,6 +48,3 @@ def slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
 def fold(doc_id: int | None) -> int:
     """The part of four that a document belongs to; 2 is held out of all training."""
     return zlib.crc32(str(doc_id).encode()) % 4
-
-
-WORD = re.compile(r"[^\W\d_]+")
