@@ -122,6 +122,31 @@ def test_simhash_odd(spark):
     assert simhash.keep_one(odd(spark).limit(0)).count() == 0
 
 
+def test_keep_one_against_brute_force_jaccard(spark):
+    """Five-word Jaccard of 0.8 or more, on real documents and on made ones around the bound."""
+    rng = random.Random(6)
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(500).collect()]
+    line = "this very line stands in many of the texts "
+    for k in range(40):
+        words = (line * (k % 2)).split() + [f"v{rng.randrange(5000)}" for _ in range(rng.choice((6, 12, 60, 300)))]
+        rows.append((100_000 + 10 * k, " ".join(words)))
+        for j in range(1, 6):
+            other = list(words)
+            for _ in range(max(1, len(words) * rng.randrange(6) // 150)):
+                other[rng.randrange(len(other))] = f"u{rng.randrange(5000)}"
+            rows.append((100_000 + 10 * k + j, " ".join(other)))
+
+    def five(text):
+        w = text.split()
+        w = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x) for x in w]
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+    sets = {i: five(t) for i, t in rows}
+    groups = brute_components(sorted(sets), lambda a, b: 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])))
+    got = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == set(groups.values()) and len(got) < len(rows)
+
+
 # ---- 2
 def test_fingerprints_share_substrings():
     rng = random.Random(1)

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from textquern.llm.common import arrow_map, cut, texts
 from textquern.llm.graph import components
+from textquern.llm.nearcopies import near_copies
 
 #: Distinct fingerprints under one key that are still compared with each other.
 HOT = 64
@@ -135,11 +136,11 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents less those of a component that aren't its smallest doc_id, with all columns.
+    """The documents less those of a group of near copies that aren't its smallest doc_id, with all columns.
 
-    A doc_id is one document: of several rows with it the smallest stays. Rows without one are kept.
+    The groups are those of `nearcopies` (five words, Jaccard 0.8), not of the fingerprints. A doc_id is one document: of several rows with it the smallest stays. Rows without one are kept.
     """
-    ids = near_groups(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept"))
+    ids = near_copies(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept"))
     gone = ids.where(~F.col("kept")).select("doc_id")
     rows = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti")
     one = rows.select("doc_id", F.struct(*docs.columns).alias("row")).groupBy("doc_id").agg(F.min("row").alias("row")).select("row.*")
