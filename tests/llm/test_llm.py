@@ -309,6 +309,50 @@ def test_license_overlaps():
     assert licenses.resolve([(0, 5, 40, 1, "a"), (1, 4, 90, 2, "b"), (10, 12, 50, 3, "c"), (10, 12, 50, 4, "d"), (10, 14, 50, 5, "e")]) == [(1, 4, 90, 2, "b"), (10, 14, 50, 5, "e")]
 
 
+def branches(pattern):
+    """Texts for all alternatives of a pattern, with and without what is optional."""
+    from re import _constants as c
+    from re import _parser
+
+    def grow(tree):
+        out = [""]
+        for op, arg in tree:
+            if op is c.LITERAL:
+                here = [chr(arg)]
+            elif op is c.NOT_LITERAL:
+                here = ["x"]
+            elif op is c.IN:
+                here = ["x"] if arg[0][0] is c.NEGATE else [chr(a if o is c.LITERAL else a[0]) for o, a in arg]
+            elif op is c.BRANCH:
+                here = [x for part in arg[1] for x in grow(part)]
+            elif op is c.SUBPATTERN:
+                here = grow(arg[3])
+            else:
+                assert op is c.MAX_REPEAT, op
+                here = [x * k for k in {arg[0], max(arg[0], 1)} for x in grow(arg[2])]
+            out = [x + y for x in out for y in here]
+        return out
+
+    return grow(_parser.parse(pattern))
+
+
+def test_every_license_rule_runs_on_all_its_branches():
+    s = licenses.Scanner()
+    lost = []
+    for n, (label, _, gate, pattern) in enumerate(parse()):
+        for text in branches(pattern):
+            present = s.gates.intersection(text.encode().split())
+            if not any(n == rule[0] for g in present for rule in s.by_gate.get(g, ())):
+                lost.append((label, gate, text))
+    assert not lost
+    found = lambda t: {d[4] for d in s.scan(t)[2]}
+    assert found("Creative Commons Attribution-Non-Commercial 4.0 International") == {"cc-by-nc-4"}
+    assert found("Creative Commons Attribution-NonCommercial-Share Alike") == {"cc-by-nc-sa"}
+    assert found("Creative Commons Attribution No Derivatives") == {"cc-by-nd"}
+    assert found("Creative Commons Attribution Non-Commercial No Derivatives") == {"cc-by-nc-nd"}
+    assert found("Redistribution and use in source and binary forms, with or without modification, are permitted") == {"bsd-2"}
+
+
 # ---- 8
 KINDS = ("email", "ip", "card", "phone")
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

@@ -1,7 +1,8 @@
 """Hand-written license rules: `label priority gate pattern`, in order.
 
 A pattern runs over lower-case words with one space between them (punctuation is a space, so 2.0 is
-"2 0"); the gate is a word that must be in the text. Higher priorities beat lower ones where
+"2 0"); the gate is a word, or words with | between of which one must be in the text: every branch of
+the pattern has one. Higher priorities beat lower ones where
 detections overlap: 90 full grants, 80 named licenses with a version, 70 named licenses, 60
 identifiers, 40 hints. `~` stands for up to four words.
 """
@@ -19,7 +20,7 @@ mit-0 80 mit mit 0(?: license)?
 mit-0 80 attribution mit no attribution
 x11 80 x11 (?:the )?x11 license
 x11 80 consortium mit x consortium license
-isc 90 isc permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
+isc 90 permission permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
 isc 90 permission permission to use copy modify and or distribute this software for any purpose with or without fee
 isc 80 isc (?:the )?isc license
 isc 60 isc license(?: identifier)? isc
@@ -89,7 +90,7 @@ gfdl-1-2 85 documentation gnu free documentation license version 1 2
 gfdl-1-1 85 documentation gnu free documentation license version 1 1
 gfdl 65 documentation gnu free documentation licen[sc]e
 gfdl 60 gfdl gfdl
-bsd-2 88 redistributions redistribution and use in source and binary forms ~ are permitted
+bsd-2 88 redistribution redistribution and use in source and binary forms ~ are permitted
 bsd-2 80 bsd (?:the )?bsd 2 clause(?: license)?
 bsd-2 80 bsd (?:2|two) clause bsd(?: license)?
 bsd-2 80 simplified simplified bsd license
@@ -144,33 +145,33 @@ unlicense 90 unencumbered this is free and unencumbered software released into t
 unlicense 80 unlicense (?:the )?unlicense
 wtfpl 80 wtfpl wtfpl
 wtfpl 80 fuck do what the fuck you want to public license
-cc0-1 90 cc0 (?:cc0|creative commons zero) (?:1 0 universal|v1 0|universal)
+cc0-1 90 cc0|zero (?:cc0|creative commons zero) (?:1 0 universal|v1 0|universal)
 cc0-1 85 dedication public domain dedication ~ creative commons
 cc0-1 70 cc0 cc0
 cc-pdm 75 mark public domain mark
 cc-by-nc-nd-4 88 nd cc by nc nd 4 0
 cc-by-nc-nd-3 88 nd cc by nc nd 3 0
 cc-by-nc-nd 78 nd cc by nc nd
-cc-by-nc-nd 78 noderivatives creative commons attribution non ?commercial noderivatives
-cc-by-nc-nd 78 noderivs creative commons attribution non ?commercial noderivs
+cc-by-nc-nd 78 attribution creative commons attribution non ?commercial no ?derivatives
+cc-by-nc-nd 78 attribution creative commons attribution non ?commercial no ?derivs
 cc-by-nc-sa-4 88 sa cc by nc sa 4 0
 cc-by-nc-sa-3 88 sa cc by nc sa 3 0
 cc-by-nc-sa 78 sa cc by nc sa
-cc-by-nc-sa 78 sharealike creative commons attribution non ?commercial share ?alike
+cc-by-nc-sa 78 attribution creative commons attribution non ?commercial share ?alike
 cc-by-nc-4 85 nc (?:licensed under )?cc by nc 4 0
 cc-by-nc-3 85 nc (?:licensed under )?cc by nc 3 0
 cc-by-nc-2 85 nc (?:licensed under )?cc by nc 2 [05]
 cc-by-nc 76 nc (?:licensed under )?cc by nc
-cc-by-nc 76 noncommercial creative commons attribution non ?commercial(?: license)?
-cc-by-nc-4 86 noncommercial creative commons attribution non ?commercial 4 0 international
+cc-by-nc 76 attribution creative commons attribution non ?commercial(?: license)?
+cc-by-nc-4 86 attribution creative commons attribution non ?commercial 4 0 international
 cc-by-sa-4 85 sa cc by sa 4 0
 cc-by-sa-3 85 sa cc by sa 3 0
 cc-by-sa 74 sa cc by sa
-cc-by-sa 74 sharealike creative commons attribution share ?alike
-cc-by-sa-4 86 sharealike creative commons attribution share ?alike 4 0 international
+cc-by-sa 74 attribution creative commons attribution share ?alike
+cc-by-sa-4 86 attribution creative commons attribution share ?alike 4 0 international
 cc-by-nd-4 85 nd cc by nd 4 0
 cc-by-nd 74 nd cc by nd
-cc-by-nd 74 noderivatives creative commons attribution no ?derivatives
+cc-by-nd 74 attribution creative commons attribution no ?derivatives
 cc-by-4 84 by cc by 4 0
 cc-by-3 84 by cc by 3 0
 cc-by-2 84 by cc by 2 [05]
@@ -234,9 +235,9 @@ mulan-2 80 mulan mulan psl v2
 mulan-2 78 mulan mulan permissive software license(?: version 2)?
 upl-1 80 universal universal permissive license(?: v(?:ersion)? ?1 0)?
 json 80 evil the software shall be used for good not evil
-beerware 80 beer (?:the )?beer ?ware license
+beerware 80 beer|beerware (?:the )?beer ?ware license
 beerware 80 beerware beerware
-openrail-m 80 openrail (?:bigscience |creativeml )?open ?rail(?: m)?(?: license)?
+openrail-m 80 openrail|rail (?:bigscience |creativeml )?open ?rail(?: m)?(?: license)?
 rail 75 responsible responsible ai licen[sc]es?
 llama-2 85 llama llama 2 community license
 llama-3 85 llama llama 3(?: [123])? community license
@@ -245,13 +246,13 @@ public-domain 65 domain (?:released|dedicated|placed) (?:in ?to|to|in) the publi
 public-domain 50 domain (?:is )?in the public domain
 proprietary 75 reserved all rights reserved
 proprietary 75 proprietary proprietary and confidential
-proprietary 75 confidential unauthorized copying of this file ~ is strictly prohibited
+proprietary 75 copying unauthorized copying of this file ~ is strictly prohibited
 proprietary 65 proprietary proprietary licen[sc]e
-proprietary 65 eula end user license agreement
+proprietary 65 agreement end user license agreement
 proprietary 65 user end user licen[sc]e agreement
 shareware 60 shareware shareware licen[sc]e
 freeware 60 freeware freeware licen[sc]e
-noncommercial 60 commercial for non ?commercial (?:use|purposes) only
+noncommercial 60 commercial|noncommercial for non ?commercial (?:use|purposes) only
 research-only 60 research for research (?:use|purposes) only
 no-redistribution 60 redistributed may not be redistributed
 dual 60 dual dual licensed under

@@ -36,7 +36,9 @@ class Scanner:
     def __init__(self, rules=None):
         self.by_gate: dict[bytes, list[tuple[int, str, int, re.Pattern]]] = {}
         for n, (label, priority, gate, pattern) in enumerate(rules if rules is not None else parse()):
-            self.by_gate.setdefault(gate.encode(), []).append((n, label, priority, re.compile(f" (?:{pattern})(?= )".encode())))
+            rule = (n, label, priority, re.compile(f" (?:{pattern})(?= )".encode()))
+            for word in gate.split("|"):
+                self.by_gate.setdefault(word.encode(), []).append(rule)
         self.gates = frozenset(self.by_gate) | _GATES
 
     def detections(self, norm: bytes, present: frozenset[bytes]) -> list[Detection]:
