@@ -397,6 +397,16 @@ def test_pii_discovers_by_context(spark):
     assert got[40] == "id:10:19" and got[41] == ""
 
 
+def test_pii_discovers_over_two_hops(spark):
+    ips = [(i, f"host: 10.0.0.{i} is up, host: 10.0.0.{i + 100} too") for i in range(30)]
+    names = ["srv-77-xy", "srv-78-ab", "srv-79-cd"]
+    first = [(40 + k, f"the host: {n} answers") for k, n in enumerate(names)]
+    second = [(50 + k, f"a node {n} here") for k, n in enumerate(names)] + [(60, "a node srv-80-ef here"), (61, "a mode srv-81-gh here")]
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(ips + first + second, "doc_id long, text string"), confidence=0.5).collect()}
+    assert all(got[40 + k] == "id:10:19" for k in range(3))
+    assert got[60] == "id:7:16" and got[61] == ""
+
+
 def test_pii_odd(spark):
     rows = odd(spark)
     got = pii.find(rows).collect()

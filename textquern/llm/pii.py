@@ -10,8 +10,10 @@ Bootstrapping. Candidates are the words with a digit, each with the word before
 (word before, shape) and (word before, any shape); shapes keep signs, letters become a and digits 9,
 long hexadecimal words are h. Candidates inside base spans are the seeds. On the graph of patterns
 and instances, a pattern's score is the mean score of its distinct instances, and an instance that
-is no seed scores 1 - product(1 - score) over its patterns of SUPPORT seeds or more, damped; ROUNDS
-rounds, each checkpointed. Patterns of CONFIDENCE and SUPPORT discover: their candidates outside the
+is no seed scores 1 - product(1 - score) over its patterns, damped. A pattern is on the graph once
+SUPPORT of its distinct instances are seeds or have scored CONFIDENCE, so what one pattern finds
+supports others, over any number of hops. Rounds are checkpointed and end ROUNDS after the last new
+pattern. Patterns of CONFIDENCE and SUPPORT discover: their candidates outside the
 base spans become spans of kind `id`. A pattern must also have a word before it that names something
 (letters, `:` or `=`).
 
@@ -34,7 +36,7 @@ CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 CANDIDATE = r"(?<!\S)(\S++)[ \t]++(?=([^\s0-9]*+[0-9]\S*+))"
 KINDS = ("email", "ip", "card", "phone")
-#: Rounds of scoring, least score and least number of distinct seeds of a pattern that discovers.
+#: Rounds of scoring after the last new pattern, least score and least number of distinct seeds of a pattern that discovers.
 ROUNDS, CONFIDENCE, SUPPORT = 3, 0.6, 3
 DAMPING = 0.8
 #: Parts that hot patterns are split into when they are joined.
@@ -132,17 +134,27 @@ def learn(found: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE
     rows = rows.select("key", "c.start", "c.end", "c.core", F.regexp_replace("c.before", "[^\\p{L}:=]", "").alias("before"), F.exists("spans", lambda s: (s["start"] <= F.col("c.start")) & (F.col("c.start") < s["end"])).alias("seed"))
     named = rows.where(F.col("before").rlike("[\\p{L}=:]"))
     occurrences = cut(named.select("key", "start", "end", "core", "seed", F.explode(F.array(F.concat_ws(" ", "before", _shape(F.col("core"))), F.concat_ws(" ", "before", F.lit("*")))).alias("pattern")))
-    edges = occurrences.groupBy("pattern", "core").agg(F.max(F.col("seed").cast("int")).alias("seed"))
+    edges = cut(occurrences.groupBy("pattern", "core").agg(F.max(F.col("seed").cast("int")).alias("seed")))
     size = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("seed").alias("seeds"))
-    able = size.where(F.col("seeds") >= support)
-    # only patterns with enough seeds can ever discover, so only their edges go on
-    graph = cut(_salted(edges, able.select("pattern", "n")).select("pattern", "core", "seed", "n"))
+    able = cut(size.where(F.col("seeds") >= support).select("pattern", "n"))
+    # only patterns with enough seeds or accepted instances can discover, so only their edges go on
+    graph = cut(_salted(edges, able).select("pattern", "core", "seed", "n"))
     scores = graph.groupBy("pattern").agg((F.sum("seed") / F.first("n")).alias("score"))
-    for _ in range(rounds):
+    left = rounds
+    while left > 0:
+        left -= 1
         voted = _salted(graph, scores)
         instances = voted.groupBy("core").agg(F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log1p(-F.least(F.col("score") * DAMPING, F.lit(0.999)))))).alias("s"))
-        rated = instances.select("core", F.when(F.col("seed") == 1, F.lit(1.0)).otherwise(F.col("s") * DAMPING).alias("s"))
-        scores = cut(graph.join(rated, "core").groupBy("pattern").agg((F.sum("s") / F.first("n")).alias("score")))
+        rated = cut(instances.select("core", (F.col("seed") == 1).alias("known"), F.when(F.col("seed") == 1, F.lit(1.0)).otherwise(F.col("s") * DAMPING).alias("s")))
+        accepted = rated.where(~F.col("known") & (F.col("s") >= confidence)).select("core")
+        if not accepted.isEmpty():
+            more = edges.join(accepted, "core").groupBy("pattern").agg(F.count("*").alias("more"))
+            fresh = cut(size.join(more, "pattern").where(F.col("seeds") + F.col("more") >= support).select("pattern", "n").join(able, "pattern", "left_anti"))
+            if not fresh.isEmpty():
+                able = cut(able.union(fresh))
+                graph = cut(graph.union(_salted(edges, fresh).select("pattern", "core", "seed", "n")))
+                left = rounds  # patterns never leave, so this ends
+        scores = cut(graph.join(rated, "core", "left").groupBy("pattern").agg((F.sum(F.coalesce("s", "seed")) / F.first("n")).alias("score")))
     return occurrences, scores.where(F.col("score") >= confidence).select("pattern", "score")
 
 
