@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from textquern.session import cut
 
-__all__ = ["LETTERS", "arrow_map", "cut", "fold", "slices", "table", "texts"]
+__all__ = ["LETTERS", "Memo", "arrow_map", "cut", "fold", "hot_join", "slices", "table", "texts"]
 
 #: Letters A-Z and every byte that is no word byte: for words of letters, digits and all that is beyond ASCII.
 LETTERS = bytes(
@@ -45,6 +46,46 @@ def slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+class Memo:
+    """A dictionary of at most `limit` entries in two generations: what was used since the last turn outlives it."""
+
+    def __init__(self, limit: int):
+        self.half, self.new, self.old = max(1, limit // 2), {}, {}
+
+    def recall(self, keys: Iterable) -> tuple[dict, list]:
+        """Of keys that aren't in `new`: what the older generation knows, and the keys that nobody knows."""
+        known, unknown = {}, []
+        for k in keys:
+            v = self.old.get(k)
+            if v is None:
+                unknown.append(k)
+            else:
+                known[k] = v
+        self.keep(known)
+        return known, unknown
+
+    def keep(self, items: dict) -> None:
+        if len(items) > self.half:
+            return
+        if len(self.new) + len(items) > self.half:
+            self.old, self.new = self.new, {}
+        self.new.update(items)
+
+
+def hot_join(rows: DataFrame, unique: DataFrame, keys: list[str], share: float = 1e-3) -> DataFrame:
+    """An inner join with `unique`, which has one row for each key and the number `_n` of its rows among `rows`.
+
+    Keys with over `share` of all rows, at most 1 / `share` of them, are broadcast, so their rows
+    stay where they are; all other keys meet by shuffle. `_n` is dropped.
+    """
+    least = unique.agg(F.coalesce(F.sum("_n") * F.lit(share), F.lit(0.0)).alias("_least"))
+    marked = unique.join(F.broadcast(least)).withColumn("_hot", F.col("_n") > F.greatest(F.col("_least"), F.lit(1000.0))).drop("_least", "_n")
+    hot, cold = marked.where("_hot").drop("_hot"), marked.where("not _hot").drop("_hot")
+    here = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    return here.unionByName(rest)
+
+
 def fold(doc_id: int | None) -> int:
     """The part of four that a document belongs to; 2 is held out of all training."""
     return zlib.crc32(str(doc_id).encode()) % 4

@@ -17,6 +17,7 @@ a null doc_id stays null; documents of any length are cut; other columns are ign
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -29,25 +30,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquern.llm.common import arrow_map, texts
+from textquern.llm.common import Memo, arrow_map, texts
 
 #: Pieces that wait for a place, in each partition.
 WINDOW = 256
-#: Most remembered words, and most parts of words, in each Python worker.
-WORDS = 400_000
+#: Most remembered words and parts of words in each Python worker.
+WORDS = 600_000
 #: What only the tokenizer itself normalises and cuts as it should.
 _RARE = re.compile("[\\x1c-\\x1f\\u0130-\\U0010ffff]")
 _LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u012f", "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: The tokenizer's pattern, for lower-case text below U+0130.
 _PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
 
+#: How the vocabulary writes the bytes of UTF-8 that aren't plain characters; the space only parts the parts here.
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _PLAIN) if b != 32}
+
 
 @dataclass(frozen=True)
 class Limits:
     """Most tokens, segments and loss-bearing tokens of a sequence."""
 
     tokens: int = 4096
-    segments: int = 256
+    segments: int = 128
     loss: int = 4096
 
 
@@ -56,7 +61,8 @@ class WordTokenizer:
 
     Words (between white space), and the parts that the tokenizer's own pattern cuts them into, are
     encoded independently of each other, so their ids can be kept. Parts that are new are encoded in
-    one call, whose ids are cut after each token that ends a part.
+    one call, whose ids are cut after each token that ends a part. That call goes to the same model
+    without its normaliser and pattern, as parts are lowered and cut already.
     """
 
     def __init__(self, path: str):
@@ -68,22 +74,39 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            bare = json.load(f) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.model = Tokenizer.from_str(json.dumps(bare))
+        self.memo = Memo(WORDS)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, parts: list[str]) -> None:
-        if len(self.parts) + len(parts) > WORDS:
-            self.parts.clear()
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+    def _encode(self, parts: list[str]) -> dict[str, bytes]:
+        """The ids of new parts."""
+        if not parts:
+            return {}
+        joined = " ".join(parts)
+        if not (joined.isascii() and joined.isprintable()):
+            joined = joined.encode("utf-8").decode("latin-1").translate(_BYTES)
+        ids = np.array(self.model.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(parts):  # not how the vocabulary ends parts: one by one
-            self.parts.update((p, self._whole(p)) for p in parts)
-            return
+            return {p: self._whole(p) for p in parts}
         packed, cuts = ids.tobytes(), (4 * cuts).tolist()
-        self.parts.update(zip(parts, map(packed.__getitem__, map(slice, [0, *cuts[:-1]], cuts))))
+        return dict(zip(parts, map(packed.__getitem__, map(slice, [0, *cuts[:-1]], cuts))))
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of words that the newer generation of the memo doesn't have."""
+        known, unknown = self.memo.recall(words)
+        pieces = {w: [w] if w.isalpha() else _PARTS.findall(w) for w in unknown}
+        here, late = self.memo.new, self.memo.old
+        parts: dict[str, bytes | None] = {p: here.get(p) or late.get(p) for ps in pieces.values() for p in ps}
+        fresh = self._encode(sorted(p for p, f in parts.items() if f is None))
+        parts.update(fresh)
+        fresh.update((w, b"".join([parts[p] for p in ps])) for w, ps in pieces.items())
+        self.memo.keep({w: f for w, f in fresh.items() if len(w) <= 64})
+        return known | fresh
 
     def packed(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -91,16 +114,9 @@ class WordTokenizer:
             return self._whole(text)
         # below U+0130 lower() goes letter by letter, nothing composes, and split() cuts at White_Space
         words = text.lower().split()
-        found = list(map(self.words.get, words))
+        found = list(map(self.memo.new.get, words))
         if None in found:
-            missing = {w: _PARTS.findall(w) for w, f in zip(words, found) if f is None}
-            new = {p for parts in missing.values() for p in parts if p not in self.parts}
-            if len(self.words) + len(missing) > WORDS:
-                self.words.clear()
-            if new:
-                self._learn(sorted(new))
-            fresh = {w: b"".join([self.parts.get(p) or self._whole(p) for p in parts]) for w, parts in missing.items()}
-            self.words.update((w, f) for w, f in fresh.items() if len(w) <= 64)
+            fresh = self._learn({w for w, f in zip(words, found) if f is None})
             found = [f if f is not None else fresh[w] for w, f in zip(words, found)]
         return b"".join(found)
 
