@@ -8,7 +8,7 @@ are read: a subset state holds the live branches with the tokens that each would
 prefix that all branches share is emitted, and the steps are remembered by (state, byte). A branch
 dies when its trie path ends, so tokens leave after a lookahead of at most the longest token. The
 steps and the encodings of whole pieces that were seen are remembered up to fixed numbers of
-entries, then forgotten together: memory is bounded whatever the texts.
+entries (steps are forgotten together, pieces by generations): memory is bounded whatever the texts.
 
 Decoding. Ids become bytes by a table. `Utf8Machine` is a state machine that takes bytes in any
 chunks, hands out all whole characters and keeps the at most three bytes of an unfinished one.
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from functools import lru_cache
 from struct import pack
 
@@ -30,13 +31,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from textquern.llm.common import arrow_map, texts
+from textquern.llm.common import Memo, arrow_map, texts
 
 #: Most remembered steps of the transducer and most remembered pieces, in each Python worker.
 STEPS = 400_000
-PIECES = 250_000
+PIECES = 400_000
 #: What the white-space class of the splitting pattern holds (Unicode White_Space).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Letters and numbers below U+0130, and what is beyond: texts without that are split by Python's own expressions.
+_LETTERS, _NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_BEYOND = re.compile("[\u0130-\U0010ffff]")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -185,25 +189,32 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = Transducer(ranks)
         self.split = regex.compile(pattern.replace(r"[^\s\p{L}", f"[^{SPACE}\\p{{L}}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
+        plain = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{SPACE}{_LETTERS}{_NUMBERS}]").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
+        plain = plain.replace(r"\p{L}", f"[{_LETTERS}]").replace(r"\p{N}", f"[{_NUMBERS}]")
+        self.plain = None if "\\p" in plain or "[[" in plain else re.compile(plain)
         self.table = np.empty(max(ranks.values(), default=-1) + 1, object)
         for data, rank in ranks.items():
             self.table[rank] = data
-        self.pieces: dict[str, bytes] = {}
+        self.memo = Memo(PIECES)
+
+    def _pieces(self, text: str) -> list[str]:
+        return (self.split if self.plain is None or _BEYOND.search(text) else self.plain).findall(text)
+
+    def _one(self, piece: str) -> bytes:
+        ids = self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
+        return pack(f"<{len(ids)}I", *ids)
 
     def encode_packed(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        known, out = self.pieces, []
-        for piece in self.split.findall(text):
-            packed = known.get(piece)
-            if packed is None:
-                ids = self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
-                packed = pack(f"<{len(ids)}I", *ids)
-                if len(piece) <= 64:
-                    if len(known) >= PIECES:
-                        known.clear()
-                    known[piece] = packed
-            out.append(packed)
-        return b"".join(out)
+        pieces = self._pieces(text)
+        found = list(map(self.memo.new.get, pieces))
+        if None in found:
+            known, unknown = self.memo.recall({p for p, f in zip(pieces, found) if f is None})
+            fresh = {p: self._one(p) for p in unknown}
+            self.memo.keep({p: f for p, f in fresh.items() if len(p) <= 64})
+            known |= fresh
+            found = [f if f is not None else known[p] for p, f in zip(pieces, found)]
+        return b"".join(found)
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text), "<u4").tolist()
