@@ -2,9 +2,11 @@
 
 A text becomes its lower-case words with one space between them. A keyword prefilter, the words of a
 text met with the gates of all rules, says which of the hand-written patterns in `license_rules` run
-at all. Overlapping detections are resolved inside each run of overlaps: a detection whose interval
-lies inside another's goes if its priority is lower, or the same and it is shorter; of the same
-interval the first rule stays; of partly overlapping ones a lower priority goes.
+at all. Overlapping detections are resolved by priority and containment: a detection that overlaps
+one that stays with a higher priority goes; of one priority, a detection whose interval lies inside
+another's goes, and of the same interval the first rule stays. This is one sweep for each priority
+over disjoint intervals, so a text takes time in proportion (but for a sort), however long its chains
+of overlaps are.
 
 Base phrases are found beside the rules, whatever these say, at all their places.
 
@@ -18,6 +20,7 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import pyarrow as pa
@@ -62,30 +65,38 @@ class Scanner:
         norm = b" " + b" ".join(words) + b" "
         base = []
         for phrase, label in BASE.items():
-            at = norm.find(phrase)
+            at, last, place = norm.find(phrase), 0, 0
             while at >= 0:
-                base.append((norm.count(b" ", 0, at), label))
-                at = norm.find(phrase, at + 1)
+                place += norm.count(b" ", last, at)
+                base.append((place, label))
+                last, at = at, norm.find(phrase, at + 1)
         return len(words), base, self.detections(norm, present)
 
 
 def resolve(found: list[Detection]) -> list[Detection]:
-    """Suppression by priority and containment inside each run of overlapping detections."""
+    """Suppression by priority and containment; what stays, in order."""
+    by_priority: dict[int, list[Detection]] = {}
+    for d in set(found):
+        by_priority.setdefault(d[2], []).append(d)
     out: list[Detection] = []
-    run: list[Detection] = []
-    end = -1
-    for d in [*sorted(set(found)), None]:
-        if d is None or d[0] >= end:
-            kept: list[Detection] = []
-            for x in sorted(run, key=lambda x: (-x[2], x[0] - x[1], x[3], x[0])):  # the strongest first, then the longest
-                if not any(x[0] < k[1] and k[0] < x[1] and (x[2] < k[2] or k[0] <= x[0] and x[1] <= k[1]) for k in kept):
-                    kept.append(x)
-            out += sorted(kept)
-            run, end = [], -1
-        if d is not None:
-            run.append(d)
-            end = max(end, d[1])
-    return out
+    starts: list[int] = []  # what higher priorities cover, as disjoint intervals in order
+    ends: list[int] = []
+    for priority in sorted(by_priority, reverse=True):
+        kept, reach = [], -1
+        for d in sorted(by_priority[priority], key=lambda d: (d[0], -d[1], d[3])):
+            i = bisect_left(starts, d[1])
+            if d[1] > reach and not (i and ends[i - 1] > d[0]):
+                kept.append(d)
+                reach = d[1]
+        out += kept
+        covered: list[list[int]] = []
+        for s, e in sorted([*zip(starts, ends), *((d[0], d[1]) for d in kept)]):
+            if covered and s <= covered[-1][1]:
+                covered[-1][1] = max(covered[-1][1], e)
+            else:
+                covered.append([s, e])
+        starts, ends = [s for s, _ in covered], [e for _, e in covered]
+    return sorted(out)
 
 
 @lru_cache(maxsize=1)
