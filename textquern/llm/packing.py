@@ -155,72 +155,68 @@ class Packer:
 
     def __init__(self, limits: Limits, window: int = WINDOW):
         self.limits, self.window = limits, window
-        self.items: list[Item] = []
-        self.demands = np.zeros((0, 3))
+        self.items: list[Item | None] = [None] * window
+        self.free = list(range(window - 1, -1, -1))
+        # of each place of the window: demand for tokens, segments and loss-bearing tokens; none fits an empty one
+        self.demands = np.full((window, 3), np.inf)
+        self.worth = np.zeros((window, 3))
         self.scale = np.array([limits.tokens, limits.segments, limits.loss], float)
 
+    def _put(self, i: int, item: Item | None) -> None:
+        self.items[i] = item
+        if item is None:
+            self.free.append(i)
+            self.demands[i], self.worth[i] = np.inf, 0.0
+        else:
+            n, loss = item.demand()
+            self.demands[i] = (n, 1, loss)
+            self.worth[i] = self.demands[i] / self.scale
+
     def add(self, item: Item) -> Iterator[list[Piece]]:
         top = self.limits
         while len(item.ids) - item.start >= top.tokens and item.fitting(top.tokens, top.loss) == top.tokens:
             yield [(item, item.start, top.tokens)]
             item.start += top.tokens
         if item.start < len(item.ids):
-            self.items.append(item)
-            n, loss = item.demand()
-            self.demands = np.vstack([self.demands, [n, 1, loss]])
-        while len(self.items) >= self.window:
+            self._put(self.free.pop(), item)
+        while not self.free:
             yield self.fill(top.tokens)
 
     def finish(self) -> Iterator[list[Piece]]:
-        while self.items:
-            total = int(self.demands[:, 0].sum())
+        while len(self.free) < self.window:
+            total = int(sum(self.demands[i, 0] for i, x in enumerate(self.items) if x is not None))
             yield self.fill(self.limits.tokens if total >= self.limits.tokens else 1 << (total.bit_length() - 1))
 
     def fill(self, tokens: int) -> list[Piece]:
         left = np.array([tokens, self.limits.segments, self.limits.loss], float)
         placed: list[Piece] = []
-        taken = np.zeros(len(self.items), bool)
-        worth = self.demands / self.scale
-        while left[0] > 0 and left[1] > 0:
-            fits = (self.demands <= left).all(axis=1) & ~taken
-            product = worth @ (left / self.scale)
-            if fits.any():
-                i = int(np.where(fits, product, -1.0).argmax())
+        while left[0] > 0 and left[1] > 0 and len(self.free) < self.window:
+            product = self.worth @ (left / self.scale)
+            i = int(np.where((self.demands <= left).all(axis=1), product, -1.0).argmax())
+            item = self.items[i]
+            if item is not None and (self.demands[i] <= left).all():
                 n = int(self.demands[i, 0])
-            elif not taken.all():
-                i = int(np.where(taken, -1.0, product).argmax())
-                n = self.items[i].fitting(int(left[0]), int(left[2]))
+            else:  # nothing fits whole: the piece of the largest product is cut
+                i = int(product.argmax())
+                item = self.items[i]
+                n = item.fitting(int(left[0]), int(left[2]))
                 if n <= 0:
                     break
-            else:
-                break
-            item = self.items[i]
-            placed.append((item, item.start, n))
-            before = self.demands[i, 2]
-            item.start += n
-            taken[i] = True
-            spent = before
-            if item.start < len(item.ids):  # cut: the rest waits for the next sequence
-                rest, loss = item.demand()
-                self.demands[i] = (rest, 1, loss)
-                spent = before - loss
-                taken[i] = False
-                left -= (n, 1, spent)
-                break
-            left -= (n, 1, spent)
+            left -= (n, 1, self._take(i, n, placed))
         if not placed:  # no token may bear loss here: the piece goes alone, as no limit can hold it
-            item = self.items[0]
-            n = min(tokens, len(item.ids) - item.start)
-            placed, taken = [(item, item.start, n)], np.zeros(len(self.items), bool)
-            item.start += n
-            taken[0] = item.start >= len(item.ids)
-            if not taken[0]:
-                rest, loss = item.demand()
-                self.demands[0] = (rest, 1, loss)
-        self.items = [x for x, t in zip(self.items, taken) if not t]
-        self.demands = self.demands[~taken]
+            i = next(i for i, x in enumerate(self.items) if x is not None)
+            self._take(i, min(tokens, len(self.items[i].ids) - self.items[i].start), placed)
         return placed
 
+    def _take(self, i: int, n: int, placed: list[Piece]) -> float:
+        """Place n tokens of item i; the loss-bearing tokens among them."""
+        item, before = self.items[i], self.demands[i, 2]
+        placed.append((item, item.start, n))
+        item.start += n
+        rest = item.start < len(item.ids)
+        self._put(i, item if rest else None)
+        return before - self.demands[i, 2] if rest else before
+
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
