@@ -19,8 +19,9 @@ have at most 2080 neighbours at first.
 
 Edge cases: a null text counts as empty; a text without words has fingerprint zero, which is linked
 like any other; one or two words are one shingle; repeated rows get the same result each; rows
-without a doc_id take part but can't name a component (it is null if no row of it has an id); other
-columns are ignored by `near_groups` and kept by `keep_one`.
+without a doc_id take part but can't name a component (it is null if no row of it has an id); equal
+fingerprints are one node, so ties need no rule; other columns are ignored by `near_groups` and kept,
+of any type and name, by `keep_one`.
 """
 
 from __future__ import annotations
@@ -33,12 +34,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textquern.llm.common import arrow_map, cut, texts
+from textquern.llm.common import arrow_map, cut, hot_join, texts
 from textquern.llm.graph import components
-from textquern.llm.nearcopies import near_copies
+from textquern.llm.nearcopies import near_copies, text_names
 
 #: Distinct fingerprints under one key that are still compared with each other.
 HOT = 64
+#: Most rows of near copies that are told by broadcast (counted first).
+SMALL = 1_000_000
 #: Bits that a link may differ in.
 REACH = 2
 _BLOCK = 1 << 16
@@ -128,20 +131,33 @@ def close_pairs(distinct: DataFrame, hot: int = HOT) -> DataFrame:
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row."""
     prints = cut(fingerprints(docs))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     roots = components(close_pairs(distinct.select("fp")))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = cut(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "copies", F.coalesce("root", "fp").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("_n"))
+    named = cut(hot_join(rooted, least, ["root"]).select("fp", "component_id", F.col("copies").alias("_n")))
+    return hot_join(prints, named, ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents less those of a group of near copies that aren't its smallest doc_id, with all columns.
+def keep_one(docs: DataFrame, small: int = SMALL) -> DataFrame:
+    """One document of each group of near copies, with all columns: its smallest doc_id; no doc_id only if no row has one.
 
-    The groups are those of `nearcopies` (five words, Jaccard 0.8), not of the fingerprints. A doc_id is one document: of several rows with it the smallest stays. Rows without one are kept.
+    The groups are those of `nearcopies` (five words, Jaccard 0.8), not of the fingerprints. Rows are
+    judged by what they hold: rows that share a doc_id but not a text are in groups of their own. Of
+    repeated rows (one doc_id, one text) one stays, whatever their other columns, which may have any
+    type. Rows that go are told by doc_id and a hash of the text; up to `small` of these are broadcast,
+    so texts stay where they are, more meet by shuffle. Only repeated rows are ever gathered whole.
     """
-    ids = near_copies(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept"))
-    gone = ids.where(~F.col("kept")).select("doc_id")
-    rows = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti")
-    one = rows.select("doc_id", F.struct(*docs.columns).alias("row")).groupBy("doc_id").agg(F.min("row").alias("row")).select("row.*")
-    return one.unionByName(docs.where(F.col("doc_id").isNull()))
+    found = cut(near_copies(docs).select("doc_id", "h1", "h2", "root"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
+    rows = found.groupBy("root", "doc_id", "h1", "h2").agg(F.count("*").alias("k"))
+    heads = rows.groupBy("root").agg(F.min(rank).alias("h"), F.count("*").alias("_n"))
+    judged = hot_join(rows, heads, ["root"]).select("doc_id", "h1", "h2", "k", rank.eqNullSafe(F.col("h")).alias("head"))
+    # rows that go, and rows of which several are the same: all others need no second look
+    odd = cut(judged.where("not head or k > 1").select(F.col("doc_id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "head"))
+    few = odd.count() <= small
+    keyed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_own"), *text_names(F.coalesce("text", F.lit(""))))
+    same = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))
+    marked = keyed.join(F.broadcast(odd) if few else odd, same, "left")
+    repeated = marked.where("head").dropDuplicates(["_own", "h1", "h2"])
+    return marked.where("head is null").select("_row.*").union(repeated.select("_row.*"))
