@@ -15,7 +15,8 @@ Jaccard index of the sets of phrases (exact when a text has few).
 Edge cases: a null text counts as empty, whose fingerprint is a dot; equal texts have equal
 fingerprints; documents are put in the order of doc_id, then text, so repeated rows are neighbours;
 rows without a doc_id have no place in the order, and an empty text takes the place of their next
-document. Any text length works, in memory proportional to the longest text and CHUNK.
+document. Any text length works, in memory proportional to the longest text and CHUNK; rows that share
+a doc_id, and a text of any length, are in one bucket whatever its size.
 """
 
 from __future__ import annotations
@@ -27,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquern.llm.common import arrow_map, slices
+from textquern.llm.common import arrow_map, cut, slices
 
 COARSE, FINE = 48, 16
+#: Bytes of text that a bucket of neighbouring documents should hold, and most buckets; with more text they grow.
+BUCKET, BUCKETS = 12_000_000, 100_000
 #: Code points that are parsed at once.
 CHUNK = 500_000
 #: Levels; a phrase of the last one spans about 2.7 ** LEVELS code points.
@@ -160,14 +163,19 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows (bucket, tail, doc_id, text), sorted inside their partition, in which each document's next row of a bucket is the next document.
 
-    Buckets are ranges of doc_id that begin at ids that exist; the first document of each is also
-    the tail of the one before (and the very first of the last one), so one shuffle is enough.
-    Rows without an id have buckets below 0.
+    Buckets are ranges of doc_id of about equal bytes, a partition each, that begin at ids that exist;
+    the first document of each is also the tail of the one before (and the very first of the last
+    one), so one shuffle is enough. Rows without an id have buckets below 0.
     """
-    spark = docs.sparkSession
-    n = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [i / n for i in range(n)], 10 * max(n, 1000)).alias("p"), F.min("doc_id").alias("m")).first()
-    starts = np.array(sorted({found.m, *found.p}) if found.m is not None else [], np.int64)
+    lengths = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")))
+    whole = lengths.agg(F.sum(F.col("bytes") + 16).alias("bytes"), F.min("doc_id").alias("least")).first()
+    size = whole.bytes or 0
+    n = max(1, min(BUCKETS, -(-size // BUCKET)), min(size >> 20, docs.sparkSession.sparkContext.defaultParallelism))
+    # ids repeated by their bytes (64 for each bucket in all, fractions by chance of a hash), so that quantiles of ids are quantiles of bytes
+    share = (F.col("bytes") + 16) * F.lit(64.0 * n / (whole.bytes or 1)) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    spread = lengths.where("doc_id is not null").select("doc_id", F.floor(share).cast("int").alias("k")).where("k > 0").select("doc_id", F.explode(F.array_repeat(F.lit(0), F.col("k"))))
+    found = spread.agg(F.percentile_approx("doc_id", [i / n for i in range(n)], 100 * max(n, 1000)).alias("p")).first().p
+    starts = np.array(sorted({whole.least, *(found or [])}) if whole.least is not None else [], np.int64)
 
     def place(batches):
         for b in batches:
@@ -185,7 +193,7 @@ def with_next(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(before, pa.int64()), pa.array(np.ones(len(edge), bool)), ids.take(take), text.take(take)], ["bucket", "tail", "doc_id", "text"])
 
     rows = arrow_map(docs.select("doc_id", "text"), place, "bucket long, tail boolean, doc_id long, text string")
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "tail", "doc_id", "text")
+    return rows.repartitionById(n, F.pmod(F.col("bucket"), F.lit(n)).cast("int")).sortWithinPartitions("bucket", "tail", "doc_id", "text")
 
 
 def edits(docs: DataFrame) -> DataFrame:
