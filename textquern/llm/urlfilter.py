@@ -2,11 +2,13 @@
 
 A list is a history of dated entries (pattern, action add or remove, listed, category). Patterns are
 `d:` and a domain, which covers its subdomains, or `p:` and host and path, which covers everything
-below. The entries of a pattern, in the order of their dates (on one date remove comes last), become
-validity intervals: from the date of an add, until the next entry. An as-of join evaluates every
-capture against the entries active when it was fetched: each capture is put under the patterns that
-can cover it (the parents of its host, the prefixes of its path) and meets intervals by pattern,
-from <= fetched < to.
+below. The entries of a pattern and category, in the order of their dates (on one date remove comes
+last), become validity intervals: from the date of an add, until the next entry of that category or
+the removal of the pattern without a category, which ends all. An as-of join evaluates every capture
+against all entries active when it was fetched: each capture is put under the patterns that can cover
+it (its host and the parents of it, the prefixes of its path) and meets intervals by pattern,
+from <= fetched < to. Only as many parents and prefixes are made as the list's longest pattern of
+either kind has parts, so long URLs cost no more than the list can use.
 
 A list of at most SMALL intervals is broadcast, which is checked by counting them; a larger one is
 joined by shuffle, captures salted in SALT parts and intervals copied to each, so that a host with a
@@ -14,7 +16,8 @@ third of all captures is no single task.
 
 Edge cases: a URL that is null or has no scheme and host is covered by nothing; a capture without a
 fetch date is never blocked; entries with a null in pattern, action or date don't count; equal
-captures come out once; equal entries count once; an empty list blocks nothing; other columns are ignored.
+captures come out once; equal entries count once; of several active entries the first by pattern and
+category is named; an empty list blocks nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,16 +42,22 @@ def intervals(entries: DataFrame) -> DataFrame:
     """(pattern, category, valid_from, valid_to) of each time that a pattern is on the list; valid_to is null while it still is."""
     rows = entries.select("pattern", F.lower("action").alias("action"), "listed", "category")
     known = rows.where(F.col("pattern").isNotNull() & F.col("listed").isNotNull() & F.col("action").isin("add", "remove")).distinct()
-    following = F.lead("listed").over(Window.partitionBy("pattern").orderBy("listed", "action", "category"))
-    spans = known.withColumn("valid_to", following).where("action = 'add' and (valid_to is null or valid_to > listed)")
+    following = F.lead("listed").over(Window.partitionBy("pattern", "category").orderBy("listed", "action"))
+    # a removal without a category ends every category of the pattern: the next one from each date on
+    ahead = Window.partitionBy("pattern").orderBy("listed").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    closed = F.min(F.when((F.col("action") == "remove") & F.col("category").isNull(), F.col("listed"))).over(ahead)
+    spans = known.select("*", F.least(following, closed).alias("valid_to")).where("action = 'add' and (valid_to is null or valid_to > listed)")
     return spans.select("pattern", "category", F.col("listed").alias("valid_from"), "valid_to")
 
 
-def patterns_of(host: Column, path: Column) -> Column:
-    """The patterns that can cover a capture."""
-    labels, parts = F.split(host, "\\."), F.filter(F.split(path, "/"), lambda p: p != "")
-    domains = F.when(F.size(labels) > 1, F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.concat(F.lit("d:"), F.array_join(F.slice(labels, i, F.size(labels)), "."))))
-    paths = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.lit("p:"), host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/"))))
+def patterns_of(host: Column, path: Column, labels_most: int, parts_most: int) -> Column:
+    """The patterns of at most so many labels and path parts that can cover a capture; a name of one label is a domain only if it is the host."""
+    labels, parts = F.split(host, "\\."), F.slice(F.filter(F.split(path, "/"), lambda p: p != ""), 1, max(parts_most, 1))
+    n = F.size(labels)
+    first = F.greatest(F.lit(1), n - labels_most + 1)
+    last = F.greatest(F.lit(1), n - 1)
+    domains = F.when((first <= last) & (F.lit(labels_most) > 0), F.transform(F.sequence(first, F.greatest(first, last)), lambda i: F.concat(F.lit("d:"), F.array_join(F.slice(labels, i, n), "."))))
+    paths = F.when((F.size(parts) > 0) & (F.lit(parts_most) > 0), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.lit("p:"), host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/"))))
     none = F.array().cast("array<string>")
     return F.when(host == "", none).otherwise(F.concat(F.coalesce(domains, none), F.coalesce(paths, none)))
 
@@ -56,8 +65,9 @@ def patterns_of(host: Column, path: Column) -> Column:
 def evaluate(captures: DataFrame, entries: DataFrame, small: int = SMALL) -> DataFrame:
     """(page_id, url, host, fetched, n_active, pattern, category, blocked) of each distinct capture (page_id, url, fetched)."""
     rows = captures.select("page_id", "url", "fetched").distinct().withColumn("host", F.coalesce(host_of("url"), F.lit("")))
-    keyed = rows.select("page_id", "url", "fetched", F.explode(patterns_of(F.col("host"), F.coalesce(path_of("url"), F.lit("")))).alias("pattern"))
     spans = intervals(entries)
+    longest = spans.agg(F.max(F.when(F.col("pattern").startswith("d:"), F.size(F.split("pattern", "\\.")))), F.max(F.when(F.col("pattern").startswith("p:"), F.size(F.split("pattern", "/")) - 1))).first()
+    keyed = rows.select("page_id", "url", "fetched", F.explode(patterns_of(F.col("host"), F.coalesce(path_of("url"), F.lit("")), longest[0] or 0, longest[1] or 0)).alias("pattern"))
     if spans.limit(small + 1).count() <= small:
         joined = keyed.join(F.broadcast(spans), "pattern")
     else:
@@ -104,10 +114,10 @@ e AS (
   UNION SELECT 'p:' || host || '/en', 'add', CAST(DATE '2020-01-01' + m % 700 AS DATE), 'section' FROM h WHERE m % 16 = 1
   UNION SELECT 'd:' || regexp_extract(host, '((?:spam-farm|cheap-pills)[.].*)$', 1), 'add', CAST(DATE '2020-01-01' + 366 AS DATE), 'junk' FROM h WHERE regexp_matches(host, '(spam-farm|cheap-pills)[.]')),
 s AS (
-  SELECT * FROM (SELECT pattern, action, category, listed AS valid_from, lead(listed) OVER (PARTITION BY pattern ORDER BY listed, action, category) AS valid_to FROM e)
+  SELECT * FROM (SELECT pattern, action, category, listed AS valid_from, lead(listed) OVER (PARTITION BY pattern, category ORDER BY listed, action) AS valid_to FROM e)
   WHERE action = 'add' AND (valid_to IS NULL OR valid_to > valid_from)),
 k AS (
-  SELECT page_id, url, fetched, 'd:' || array_to_string(string_split(host, '.')[i:], '.') AS pattern FROM p, LATERAL (SELECT unnest(range(1, len(string_split(host, '.')))) AS i) WHERE host <> ''
+  SELECT page_id, url, fetched, 'd:' || array_to_string(string_split(host, '.')[i:], '.') AS pattern FROM p, LATERAL (SELECT unnest(range(1, greatest(len(string_split(host, '.')), 2))) AS i) WHERE host <> ''
   UNION ALL SELECT page_id, url, fetched, 'p:' || host || '/' || array_to_string(parts[1:i], '/') FROM p, LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS i) WHERE host <> ''),
 m AS (
   SELECT page_id, url, fetched, count(*) AS n_active, min(pattern || ' ' || category) AS best FROM k JOIN s USING (pattern)
