@@ -7,7 +7,8 @@ log densities plus the log prior odds; both Mahalanobis terms come from triangul
 Cholesky factors that are computed once when the model is fitted and are part of it.
 
 Edge cases: a null text counts as empty and is scored like any other; repeated rows are scored
-each; documents without a label take no part in fitting; with no labelled row of either class the
+each; documents without a label take no part in fitting; of labels of one doc_id that contradict each
+other the larger counts, and of several texts of one labelled doc_id the first in order is fitted on; with no labelled row of either class the
 model scores every text at the share of label 1 (0.5 when there is none at all). Columns other than
 the id and the text are never looked at.
 """
@@ -104,9 +105,9 @@ def fit_arrays(x: np.ndarray, y: np.ndarray, shrink: float = 0.15, ridge: float
 
 
 def labelled(docs: DataFrame, labels: DataFrame, target: str, sample: int) -> DataFrame:
-    """At most `sample` labelled documents (doc_id, text, y) outside the held-out part, by hash order.
+    """At most `sample` labelled documents (doc_id, text, y) outside the held-out part, by hash order; one row for each doc_id.
 
-    The sampled labels are bounded by `sample`, so they are broadcast and no text is shuffled.
+    The sampled labels are bounded by `sample`, so they are broadcast; only the sample's texts are shuffled.
     """
     key = F.col("doc_id").cast("string")
     picked = (
@@ -115,7 +116,8 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, sample: int) -> Da
         .groupBy("doc_id").agg(F.max("_y").alias("_y"))
         .orderBy(F.md5(key), "doc_id").limit(sample)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", F.col("_y").alias("y"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_y").alias("y"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) -> QualityModel:

@@ -2,21 +2,25 @@
 
 The grade of a text is 0 (clean) to 3 (severe). The model is P(grade > k) = sigmoid(w.x - t_k): all
 thresholds share the weights w and t_0 < t_1 < t_2. Its outputs are the probabilities of the grades,
-the expected severity (their mean, 0 to 3) and whether the text is taken for toxic: P(grade > 0) of
-at least THRESHOLD.
+the expected severity (their mean, 0 to 3), the likeliest grade (of equal ones the lower) and whether
+the text is taken for toxic: P(grade > 0) of at least THRESHOLD.
 
-Labels only say toxic or not, so the grades of toxic training rows are made from them: words that
-the labelled sample associates with toxicity (by prefixes) are
-counted, and the counts of 0-2, 3-5 and more are the grades 1, 2 and 3. Label noise remains as it is.
+Labels only say toxic or not. Grade 0 is what they call clean; the order of the toxic rows comes from
+models that haven't seen them: the same regression with one threshold, fitted on FOLDS - 1 parts of
+the sample, gives each toxic row of the part left out a value, and the thirds of these values are the
+grades 1, 2 and 3. So severity means how far beyond the border unseen evidence puts a text, not a
+count of words, and a mistaken label gets the lowest grade.
 
 Features: words (runs of letters, digits and bytes beyond ASCII of the lowered text) and their
-prefixes of 4 to 7 bytes, as insults take endings; each with log(1 + occurrences), and once more where
-it occurs three times and in over one word of 200. A feature is selected by the likelihood ratio of its document
-frequencies (RATIO, SURE).
-
-Edge cases: a null text counts as empty and has no features; repeated rows are scored each; with no
-labelled row of a class the thresholds only express the share of the grades; other columns pass or
-are ignored, whatever their names.
+prefixes of 4 to 7 code points, as insults take endings; each with log(1 + occurrences), and once more
+where it occurs three times and in over one word of 200. A feature is selected, for either class, by
+the likelihood ratio of its document frequencies (RATIO, SURE). There is no cap: what the test selects
+in at most SAMPLE texts is the vocabulary.
+
+Edge cases: a null text counts as empty and has no features; repeated rows are scored each; of labels
+of one doc_id that contradict each other the larger counts, and of several texts of one labelled
+doc_id the first in order is fitted on; with no labelled row of a class the thresholds only express
+the share of the grades; other columns pass or are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,13 +39,11 @@ from textquern.llm.quality import labelled
 
 #: Most labelled documents that a fit looks at, in the order of a hash of their ids.
 SAMPLE = 8_000
-#: Most words that a model knows.
-VOCABULARY = 4_000
 THRESHOLD = 0.5
 #: Most words whose features a worker remembers; then it starts anew.
 MEMO = 200_000
-GRADES = 4
-#: A feature is selected if it is RATIO times as common in toxic texts and the root of its likelihood ratio statistic is at least SURE.
+GRADES, FOLDS = 4, 3
+#: A feature is selected if it is RATIO times as common in one class and the root of its likelihood ratio statistic is at least SURE.
 RATIO, SURE = 2.0, 4.5
 
 
@@ -50,8 +52,11 @@ def words(text: str) -> list[bytes]:
 
 
 def parts(word: bytes) -> list[bytes]:
-    """The word, marked as whole, and its prefixes."""
-    return [word + b"$", *(word[:k] for k in range(4, min(len(word), 7) + 1))]
+    """The word, marked as whole, and its prefixes of 4 to 7 code points."""
+    if word.isascii():
+        return [word + b"$", *(word[:k] for k in range(4, min(len(word), 7) + 1))]
+    whole = word.decode("utf-8", "surrogatepass")
+    return [word + b"$", *(whole[:k].encode("utf-8", "surrogatepass") for k in range(4, min(len(whole), 7) + 1))]
 
 
 def features(text: str) -> dict[bytes, int]:
@@ -95,44 +100,74 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z[:, None] - np.array(self.thresholds)[None, :], -500, 500)))
 
 
-def _minimise(x, y, grades: int, l2: float, rounds: int = 400):
-    """Adam on the penalised likelihood; x is a list of (feature numbers, values) in CSR form."""
-    indptr, indices, values, width = x
-    rows = np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))
+def objective(theta: np.ndarray, x, y: np.ndarray, grades: int, l2: float) -> tuple[float, np.ndarray]:
+    """The penalised negative log-likelihood (a mean over rows) and its gradient.
+
+    theta: the weights, the first threshold and the logarithms of the gaps between thresholds; x: (row
+    numbers, feature numbers, values, width) of the entries that aren't 0.
+    """
+    rows, indices, values, width = x
+    n = max(len(y), 1)
+    w, t0, gaps = theta[:width], theta[width], np.exp(theta[width + 1 :])
+    t = np.concatenate([[-np.inf, t0], t0 + np.cumsum(gaps), [np.inf]])
+    z = np.bincount(rows, values * w[indices], minlength=len(y))
+    up = 1 / (1 + np.exp(-np.clip(t[y + 1] - z, -500, 500)))
+    low = 1 / (1 + np.exp(-np.clip(t[y] - z, -500, 500)))
+    p = (up - low).clip(1e-12)
+    du, dl = up * (1 - up) / p, low * (1 - low) / p
+    dz = (du - dl) / n  # the loss's slope by z
+    dt = np.zeros(grades - 1)
+    np.add.at(dt, np.minimum(y, grades - 2), np.where(y < grades - 1, -du, 0) / n)
+    np.add.at(dt, np.maximum(y - 1, 0), np.where(y > 0, dl, 0) / n)
+    slope = np.concatenate([np.bincount(indices, values * dz[rows], minlength=width) + l2 * w, [dt.sum()], np.cumsum(dt[::-1])[::-1][1:] * gaps])
+    return float(-np.log(p).sum() / n + 0.5 * l2 * (w @ w)), slope
+
+
+def _minimise(x, y: np.ndarray, grades: int, l2: float, rounds: int = 400) -> tuple[np.ndarray, tuple[float, ...]]:
+    """Adam on the objective: weights and thresholds."""
+    width = x[3]
     share = np.array([(y > k).mean() for k in range(grades - 1)]).clip(1e-4, 1 - 1e-4)
     first = -np.log(share / (1 - share))
     first = np.maximum.accumulate(first + 1e-3 * np.arange(grades - 1))
     theta = np.concatenate([np.zeros(width), first[:1], np.log(np.diff(first).clip(1e-3))])
     m = v = np.zeros_like(theta)
-    n = max(len(y), 1)
     for step in range(1, rounds + 1):
-        w, t0, gaps = theta[:width], theta[width], np.exp(theta[width + 1 :])
-        t = np.concatenate([[-np.inf, t0], t0 + np.cumsum(gaps), [np.inf]])
-        z = np.bincount(rows, values * w[indices], minlength=len(y))
-        up = 1 / (1 + np.exp(-np.clip(t[y + 1] - z, -500, 500)))
-        low = 1 / (1 + np.exp(-np.clip(t[y] - z, -500, 500)))
-        p = (up - low).clip(1e-12)
-        du, dl = up * (1 - up) / p, low * (1 - low) / p
-        dz = (du - dl) / n  # the loss's slope by z
-        dt = np.zeros(grades - 1)
-        np.add.at(dt, np.minimum(y, grades - 2), np.where(y < grades - 1, -du, 0) / n)
-        np.add.at(dt, np.maximum(y - 1, 0), np.where(y > 0, dl, 0) / n)
-        g = np.concatenate([np.bincount(indices, values * dz[rows], minlength=width) + l2 * w, [dt.sum()], np.cumsum(dt[::-1])[::-1][1:] * gaps])
+        _, g = objective(theta, x, y, grades, l2)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta = theta - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
     gaps = np.exp(theta[width + 1 :])
     return theta[:width], tuple(float(t) for t in np.concatenate([[theta[width]], theta[width] + np.cumsum(gaps)]))
 
 
+def severity(x, toxic: np.ndarray, l2: float, folds: int = FOLDS) -> np.ndarray:
+    """Grades of training rows: 0 for clean ones, 1 to 3 for the thirds of the toxic ones by the value that models of other parts give them."""
+    rows, indices, values, width = x
+    part = np.zeros(len(toxic), int)
+    for k in (0, 1):  # each part has its share of both classes
+        own = np.flatnonzero(toxic == k)
+        part[own] = np.arange(len(own)) % folds
+    z = np.zeros(len(toxic))
+    for f in range(folds):
+        here = part != f
+        if len(set(toxic[here])) < 2:
+            continue
+        number = np.cumsum(here) - 1
+        on = here[rows]
+        w, t = _minimise((number[rows[on]], indices[on], values[on], width), toxic[here], 2, l2, 150)
+        z += np.where(part == f, np.bincount(rows, values * w[indices], minlength=len(toxic)) - t[0], 0.0)
+    one, two = np.quantile(z[toxic == 1], [1 / 3, 2 / 3])
+    return np.where(toxic == 1, 1 + (z > one) + (z > two), 0).astype(int)
+
+
 def _root(k1: int, k0: int, n1: int, n0: int) -> float:
-    """The root of the likelihood ratio statistic of a feature in k1 of n1 toxic and k0 of n0 clean texts; 0 if it isn't RATIO times as common in toxic ones."""
-    if k1 * n0 < RATIO * k0 * n1:
+    """The root of the likelihood ratio statistic of a feature in k1 of n1 toxic and k0 of n0 clean texts; 0 if it isn't RATIO times as common in one of them."""
+    if k1 * n0 < RATIO * k0 * n1 and k0 * n1 < RATIO * k1 * n0:
         return 0.0
     share = n1 / (n0 + n1)
-    return float(np.sqrt(max(0.0, 2 * (k1 * np.log(k1 / (share * (k0 + k1))) + (k0 * np.log(k0 / ((1 - share) * (k0 + k1))) if k0 else 0.0)))))
+    return float(np.sqrt(max(0.0, 2 * sum(k * np.log(k / (s * (k0 + k1))) for k, s in ((k1, share), (k0, 1 - share)) if k))))
 
 
-def fit_counts(rows: list[dict[bytes, int]], toxic: np.ndarray, l2: float = 5e-5, vocabulary: int = VOCABULARY) -> ToxicityModel:
+def fit_counts(rows: list[dict[bytes, int]], toxic: np.ndarray, l2: float = 5e-5) -> ToxicityModel:
     """Fit on the word counts of labelled texts."""
     n1 = int(toxic.sum())
     n0 = len(toxic) - n1
@@ -145,20 +180,17 @@ def fit_counts(rows: list[dict[bytes, int]], toxic: np.ndarray, l2: float = 5e-5
         if len(r) < 8 or key not in known:  # copies of a text are one witness
             seen[t].update(r.keys())
         known.add(key)
-    # how sure it is that a feature goes with toxicity: the root of its likelihood ratio statistic
-    lift = {w: root for w, k in seen[1].items() if (root := _root(k, seen[0][w], n1, n0)) >= SURE}
-    chosen = sorted(lift, key=lambda w: (-lift[w], w))[:vocabulary]
-    strong = {w for w in chosen if w[-1:] not in b"$#"}
-    hits = np.array([max((sum(k for w, k in r.items() if w in strong and len(w) == size) for size in range(4, 8)), default=0) for r in rows])
-    y = np.where(toxic == 1, 1 + (hits >= 3) + (hits >= 6), 0).astype(int)
+    # how sure it is that a feature goes with a class: the root of its likelihood ratio statistic
+    chosen = sorted(w for w in seen[0] | seen[1] if _root(seen[1][w], seen[0][w], n1, n0) >= SURE)
     number = {w: i for i, w in enumerate(chosen)}
-    indptr, indices, values = [0], [], []
-    for r in rows:
+    row, indices, values = [], [], []
+    for n, r in enumerate(rows):
         for w in sorted(r.keys() & number.keys()):
+            row.append(n)
             indices.append(number[w])
             values.append(np.log1p(r[w]))
-        indptr.append(len(indices))
-    weights, thresholds = _minimise((np.array(indptr), np.array(indices, int), np.array(values), len(chosen)), y, GRADES, l2)
+    x = (np.array(row, int), np.array(indices, int), np.array(values, float), len(chosen))
+    weights, thresholds = _minimise(x, severity(x, toxic, l2), GRADES, l2)
     return ToxicityModel({w: float(weights[i]) for w, i in number.items()}, thresholds)
 
 
@@ -188,22 +220,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) ->
         return fit_counts([{}] * (n0 + n1), np.array([0] * n0 + [1] * n1), **options)
     share = n1 / (n0 + n1)
     k0, k1 = F.col("k0"), F.col("k1")
-    g = 2 * (k1 * F.log(k1 / (share * (k0 + k1))) + F.when(k0 > 0, k0 * F.log(k0 / ((1 - share) * (k0 + k1)))).otherwise(0.0))
-    likely = (F.length("word") > 0) & (k1 > 0) & (k1 * n0 >= RATIO * k0 * n1) & (g >= SURE**2)
-    kept = frequencies.where(likely).orderBy(F.desc(g), "word").limit(VOCABULARY).collect()
-    words_kept = {bytes(r.word) for r in kept}
+    part = lambda k, s: F.when(k > 0, k * F.log(k / (s * (k0 + k1)))).otherwise(0.0)
+    g = 2 * (part(k1, share) + part(k0, 1 - share))
+    differs = (k1 * n0 >= RATIO * k0 * n1) | (k0 * n1 >= RATIO * k1 * n0)
+    kept = frequencies.where((F.length("word") > 0) & differs & (g >= SURE**2)).select("word").orderBy("word").toArrow()
+    vocabulary = kept.column("word").to_pylist()
+    number = {w: i for i, w in enumerate(vocabulary)}
 
     def thin(batches):
         for b in batches:
-            pairs = [[(w, k) for w, k in features(t).items() if w in words_kept] for t in texts(b)]
+            pairs = [sorted((number[w], k) for w, k in features(t).items() if w in number) for t in texts(b)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("y"), pa.array([[w for w, _ in p] for p in pairs], pa.list_(pa.binary())), pa.array([[k for _, k in p] for p in pairs], pa.list_(pa.int32()))],
+                [b.column("doc_id"), b.column("y"), pa.array([[w for w, _ in p] for p in pairs], pa.list_(pa.int32())), pa.array([[k for _, k in p] for p in pairs], pa.list_(pa.int32()))],
                 ["doc_id", "y", "words", "counts"],
             )
 
-    rows = arrow_map(sampled, thin, "doc_id long, y int, words array<binary>, counts array<int>").collect()
-    data = sorted((r.doc_id, r.y, sorted((bytes(w), k) for w, k in zip(r.words, r.counts))) for r in rows)
-    return fit_counts([dict(d[2]) for d in data], np.array([d[1] for d in data], int), **options)
+    data = arrow_map(sampled, thin, "doc_id long, y int, words array<int>, counts array<int>").toArrow().sort_by("doc_id")
+    rows = [{vocabulary[w]: k for w, k in zip(ws, ks)} for ws, ks in zip(data.column("words").to_pylist(), data.column("counts").to_pylist())]
+    return fit_counts(rows, data.column("y").to_numpy().astype(int), **options)
 
 
 def _counted(both: tuple[Counter, Counter]) -> pa.RecordBatch:
