@@ -41,7 +41,7 @@ from textquern.llm.quality import labelled
 SAMPLE = 8_000
 THRESHOLD = 0.5
 #: Most words whose features a worker remembers; then it starts anew.
-MEMO = 200_000
+MEMO = 100_000
 GRADES, FOLDS = 4, 3
 #: A feature is selected if it is RATIO times as common in one class and the root of its likelihood ratio statistic is at least SURE.
 RATIO, SURE = 2.0, 4.5
