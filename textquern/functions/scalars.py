@@ -117,3 +117,54 @@ def float_array(text: Column | str) -> Column:
 def content_id(*columns: Column | str) -> Column:
     """An id from what a row holds; the same on every run."""
     return F.md5(F.concat_ws("\u0001", *columns))
+
+
+def int_array(text: Column | str) -> Column:
+    """Whole numbers of a text of numbers between commas or spaces."""
+    return F.transform(F.filter(F.split(text, "[, ]+"), lambda x: x != ""), lambda x: x.cast("long"))
+
+
+def sentences(text: Column | str) -> Column:
+    """The sentences of a text: up to its stops, question and exclamation marks and line ends, without the space around them."""
+    found = F.regexp_extract_all(text, F.lit(r"[^.!?\n]+[.!?]*"), F.lit(0))
+    return F.filter(F.transform(found, lambda s: F.trim(s)), lambda s: s != "")
+
+
+def map_blend(a: Column | str, b: Column | str, x: float, y: float) -> Column:
+    """x times a plus y times b, over the features of both."""
+    zero = F.lit(0.0)
+    return F.map_zip_with(a, b, lambda k, u, v: x * F.coalesce(u, zero) + y * F.coalesce(v, zero))
+
+
+def map_get(v: Column | str, feature: str) -> Column:
+    """The value of a feature; 0 where the vector doesn't have it."""
+    return F.coalesce(F.try_element_at(v, F.lit(feature)), F.lit(0.0))
+
+
+def has_feature(v: Column | str, feature: str) -> Column:
+    return F.map_contains_key(v, feature)
+
+
+def power(base: Column, exponent: int) -> Column:
+    """A whole power by squaring, exact as long as the products are."""
+    out, square, n = F.lit(1.0), base.cast("double"), abs(exponent)
+    while n:
+        if n & 1:
+            out = out * square
+        square, n = square * square, n >> 1
+    return out if exponent >= 0 else 1.0 / out
+
+
+def against_rest(label: Column | str, positive) -> Column:
+    """1 for one label and 0 for all others."""
+    return F.when(F.col(label) == F.lit(positive) if isinstance(label, str) else label == F.lit(positive), 1).otherwise(0)
+
+
+def escape_commas(text: Column | str, mark: str = "&coma;") -> Column:
+    """Commas as a mark, for reports that don't quote."""
+    return F.replace(F.col(text) if isinstance(text, str) else text, F.lit(","), F.lit(mark))
+
+
+def distinct_in_order(values: Column | str) -> Column:
+    """The values without repetitions, each where it first stands."""
+    return F.array_distinct(values)

@@ -121,6 +121,17 @@ def grow_until(train, sizes, accuracy: float = 0.9, tries: int = 100):
     return best
 
 
+def accuracy(predicted: DataFrame, targets: DataFrame) -> DataFrame:
+    """(n, correct, accuracy) of predictions (doc_id, predicted) against targets (doc_id, y)."""
+    right = (F.col("predicted") == F.col("y")).cast("long")
+    return predicted.join(targets, "doc_id").agg(F.count("*").alias("n"), F.sum(right).alias("correct"), F.avg(right).alias("accuracy"))
+
+
+def document_features(rows: DataFrame, band: DataFrame, doc_ids: DataFrame) -> DataFrame:
+    """(doc_id, feature, value) of some documents (doc_id) over a label's selected features (feature)."""
+    return rows.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi").join(band.select("feature"), "feature", "left_semi").select("doc_id", "feature", "value")
+
+
 def oracle_predict(candidates: DataFrame, truth: DataFrame) -> DataFrame:
     """(doc_id, label): candidates that are true, the best that a predictor on these candidates can do."""
     return candidates.join(truth.select("doc_id", "label"), ["doc_id", "label"], "left_semi")

@@ -96,6 +96,13 @@ def rarity_weights(p: DataFrame, kind: str = "rarity") -> DataFrame:
     return p.join(F.broadcast(extremes(p))).select("label", value.alias("weight"))
 
 
+def occurrence(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(label, n_docs, n_mentioned, ratio): documents with the label, and those of them whose text has the label's words (one may miss of over two)."""
+    words = docs.select("doc_id", F.array_distinct(scalars.tokens(F.coalesce("text", F.lit("")))).alias("words"))
+    rows = pairs.join(words, "doc_id").select("label", scalars.label_words_present(F.col("label"), F.col("words")).cast("long").alias("m"))
+    return rows.groupBy("label").agg(F.count("*").alias("n_docs"), F.sum("m").alias("n_mentioned")).withColumn("ratio", F.col("n_mentioned") / F.col("n_docs"))
+
+
 def label_vectors(pairs: DataFrame, weights: DataFrame) -> DataFrame:
     """(vec_id, feature, value): each document's labels with their weights."""
     return pairs.join(weights, "label").select(F.col("doc_id").alias("vec_id"), F.col("label").alias("feature"), F.col("weight").alias("value"))

@@ -10,14 +10,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from hashlib import md5
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 STEPS = 50_000
 EPS = 1e-3
+#: Most rows of one problem: its matrix of n x n numbers must fit a task.
+MOST_ROWS = 10_000
 Kernel = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -260,10 +264,8 @@ def platt_predict(f, a: float, b: float) -> np.ndarray:
 
 
 def folds(ids, k: int = 5) -> np.ndarray:
-    """The fold of each row, by a hash of its id; the same on every run."""
-    import zlib
-
-    return np.array([zlib.crc32(str(i).encode()) % k for i in ids])
+    """The fold of each row, by a hash of its id; the same on every run, and in SQL."""
+    return np.array([int(md5(str(i).encode()).hexdigest()[:8], 16) % k for i in ids])
 
 
 def cross_decide(x, y, fit: Callable, k: int = 5, ids=None) -> np.ndarray:
@@ -388,10 +390,48 @@ def multi(x, y, fit: Callable | None = None, probability: bool = False) -> Multi
 
 
 # ---- on DataFrames
+def linear_decisions(rows: DataFrame, models: DataFrame) -> DataFrame:
+    """(doc_id, label, value, predicted) of rows (doc_id, features) by linear models (label, weights, rho), all in built-in functions.
+
+    There is one row for each label, so the models are broadcast.
+    """
+    dot = F.aggregate(F.zip_with("features", "weights", lambda x, w: x.cast("double") * w), F.lit(0.0), lambda a, x: a + x)
+    values = rows.select("doc_id", "features").join(F.broadcast(models)).select("doc_id", "label", (dot - F.col("rho")).alias("value"))
+    return values.withColumn("predicted", (F.col("value") > 0).cast("int"))
+
+
+def vote(pairs: DataFrame, alone: DataFrame | None = None, one_vs_all: str = "none", all_vs_all: str = "all", margin: float = 0.0) -> DataFrame:
+    """(doc_id, predicted, quality) by the rules of `MultiModel.predict`, from decisions as tables, in built-in functions.
+
+    `pairs` has (doc_id, a, b, value), positive for a; `alone` has (doc_id, label, value). The quality
+    is the winner's share of the votes that counted.
+    """
+    sides = pairs.select("doc_id", "a", "b", F.when(F.col("value") > 0, F.col("a")).otherwise(F.col("b")).alias("won"))
+    own = None if alone is None else alone.select("doc_id", "label", F.col("value").alias("solo"), (F.col("value") > margin).alias("yes"))
+    counted = sides
+    if all_vs_all == "filtered_vs_filtered":
+        good = own.where("yes").select("doc_id", "label")
+        counted = sides.join(good.withColumnRenamed("label", "a"), ["doc_id", "a"], "left_semi").join(good.withColumnRenamed("label", "b"), ["doc_id", "b"], "left_semi")
+    votes = counted.groupBy("doc_id", F.col("won").alias("label")).agg(F.count("*").alias("votes"))
+    every = sides.select("doc_id", F.explode(F.array("a", "b")).alias("label")).distinct()
+    board = every.join(votes, ["doc_id", "label"], "left").withColumn("votes", F.coalesce("votes", F.lit(0)))
+    board = board.join(own, ["doc_id", "label"]) if own is not None else board.withColumns({"solo": F.lit(0.0), "yes": F.lit(True)})
+    strict = "veto" in one_vs_all or all_vs_all.startswith("filtered")
+    first = F.lit(0).cast("long") if one_vs_all == "best" or all_vs_all == "none" else F.col("votes")
+    second = F.col("solo") if one_vs_all == "best" or all_vs_all == "none" or "break_ties" in one_vs_all else F.lit(0.0)
+    rank = F.struct((F.col("yes") | F.lit(not strict)).alias("in"), first.alias("votes"), F.round(second, 9).alias("solo"))
+    # of equal ranks the first label wins
+    top = board.groupBy("doc_id").agg(F.max(rank).alias("top"), F.sum("votes").alias("all"))
+    winner = board.join(top, "doc_id").where(rank == F.col("top")).groupBy("doc_id").agg(F.min(F.struct("label", "votes")).alias("w"), F.first("top").alias("top"), F.first("all").alias("all"))
+    return winner.select("doc_id", F.when(F.col("top.in"), F.col("w.label")).alias("predicted"), F.coalesce(F.try_divide(F.col("w.votes"), F.col("all")), F.lit(0.0)).alias("quality"))
+
+
 def per_group(rows: DataFrame, keys: list[str], work: Callable[[tuple, np.ndarray, np.ndarray, pd.DataFrame], pd.DataFrame], schema: str, features: str = "features", target: str = "y") -> DataFrame:
-    """`work(key, x, y, rows)` for each group of rows with an array of features; one problem a task."""
+    """`work(key, x, y, rows)` for each group of rows with an array of features; one problem a task, of MOST_ROWS rows or an error."""
 
     def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        if len(p) > MOST_ROWS:
+            raise ValueError(f"{len(p)} rows in problem {key}; sample them, or take classify.linear_svc")
         return work(key, np.stack(p[features].to_numpy()).astype(float), p[target].to_numpy(), p)
 
     return rows.groupBy(*keys).applyInPandas(run, schema)

@@ -24,11 +24,13 @@ REGRESSION = ("epsilon_svr", "nu_svr")
 
 
 def train(rows: DataFrame, kind: str = "c_svc", kernel: str = "linear", kernel_options: dict | None = None, **options) -> DataFrame:
-    """(kind, kernel, rho, alpha, sv): one row. A problem must fit one task."""
+    """(kind, kernel, rho, alpha, sv): one row. A problem must fit one task: svm.MOST_ROWS rows at most."""
     if kind not in FITS:
         raise ValueError(f"unknown kind {kind!r}")
 
     def work(p: pd.DataFrame) -> pd.DataFrame:
+        if len(p) > svm.MOST_ROWS:
+            raise ValueError(f"{len(p)} rows in one problem; sample them, or take classify.linear_svc")
         x, y = np.stack(p["features"].to_numpy()).astype(float), p["label"].to_numpy(float)
         m = FITS[kind](x, y, options | {"kernel": svm.kernel_of(kernel, **(kernel_options or {}))})
         return pd.DataFrame({"kind": [kind], "kernel": [kernel], "rho": [m.rho], "alpha": [m.alpha.tolist()], "sv": [m.sv.tolist()]})

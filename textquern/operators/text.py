@@ -51,20 +51,26 @@ def doc_length(counts: DataFrame) -> DataFrame:
     return counts.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
 
 
-def corpus_stats(counts: DataFrame, exact_avgdl: bool = False) -> DataFrame:
-    """(n_docs, avgdl): one row; the average is an integer quotient unless `exact_avgdl`."""
-    average = F.expr("try_divide(sum(dl), count(*))" if exact_avgdl else "sum(dl) div nullif(count(*), 0)")
-    return doc_length(counts).agg(F.count("*").alias("n_docs"), average.alias("avgdl"))
+def corpus_stats(counts: DataFrame, exact_avgdl: bool = False, docs: DataFrame | None = None) -> DataFrame:
+    """(n_docs, avgdl): one row; the average is an integer quotient unless `exact_avgdl`.
+
+    With `docs` all documents count, also those without a term, which `counts` can't show.
+    """
+    average = "try_divide(total, n_docs)" if exact_avgdl else "total div nullif(n_docs, 0)"
+    sums = doc_length(counts).agg(F.count("*").alias("n_docs"), F.sum("dl").alias("total"))
+    if docs is not None:
+        sums = sums.drop("n_docs").join(F.broadcast(docs.agg(F.count("*").alias("n_docs"))))
+    return sums.select("n_docs", F.expr(average).alias("avgdl"))
 
 
-def weigh(counts: DataFrame, weight: str = "tfidf", exact_avgdl: bool = False) -> DataFrame:
-    """(doc_id, term, weight): TF-IDF or BM25.
+def weigh(counts: DataFrame, weight: str = "tfidf", exact_avgdl: bool = False, docs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, term, weight): TF-IDF or BM25; `docs` as in `corpus_stats`.
 
     Counts that carry the document length need no shuffle for it; for others it is a window by doc_id.
     The corpus statistics are one row and the only broadcast.
     """
     lengths = counts if "dl" in counts.columns else counts.withColumn("dl", F.sum("tf").over(Window.partitionBy("doc_id")))
-    rows = lengths.join(doc_freq(counts), "term").join(F.broadcast(corpus_stats(counts, exact_avgdl)))
+    rows = lengths.join(doc_freq(counts), "term").join(F.broadcast(corpus_stats(counts, exact_avgdl, docs)))
     value: Column
     if weight == "tfidf":
         value = scalars.tfidf(F.col("tf"), F.col("dl"), F.col("n_docs"), F.col("df"))
@@ -91,6 +97,17 @@ def round_robin(rows: DataFrame, order: str, parts: int, part: int) -> DataFrame
     return rows.where(F.pmod(F.col(order), F.lit(parts)) == part)
 
 
+def split_parts(rows: DataFrame, order: str, parts: int) -> DataFrame:
+    """The rows with their part, dealt out in the order of an integer id."""
+    return rows.withColumn("part", F.pmod(F.col(order), F.lit(parts)).cast("int"))
+
+
+def split_corpus(docs: DataFrame, dev: float = 0.1, test: float = 0.1, key: str = "doc_id") -> DataFrame:
+    """The rows with `split`: train, dev or test, by a hash of the id, so that a document never changes sides."""
+    at = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return docs.withColumn("split", F.when(at < dev, "dev").when(at < round(dev + test, 9), "test").otherwise("train"))
+
+
 def first_n(rows: DataFrame, order: str, n: int) -> DataFrame:
     """The first n rows by a column."""
     return rows.orderBy(order).limit(n)

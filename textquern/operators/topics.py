@@ -72,21 +72,19 @@ def drop_tags(tokens: Column | str, tags=scalars.DROP_TAGS) -> Column:
 def noun_phrases(tagged: DataFrame) -> DataFrame:
     """(doc_id, phrase, pos): maximal runs of kept tags, lower case, by the place of their first token.
 
-    Inside the array: a token begins a run if the one before isn't kept; no shuffle is needed.
+    Inside the array: the places before a token that isn't kept bound the runs, so a text takes linear
+    time and no shuffle is needed.
     """
-    kept = lambda t: t["pos"].isin(*scalars.KEEP_TAGS)
-
-    def grow(out: Column, t: Column) -> Column:
-        at, runs = out["at"], out["runs"]
-        word = F.lower(t["token"])
-        last = F.try_element_at(runs, F.lit(-1))
-        joins = out["open"] & kept(t)
-        longer = F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(F.struct(F.concat_ws(" ", last["phrase"], word).alias("phrase"), last["pos"].alias("pos"))))
-        fresh = F.concat(runs, F.array(F.struct(word.alias("phrase"), at.alias("pos"))))
-        return F.struct((at + 1).alias("at"), kept(t).alias("open"), F.when(joins, longer).when(kept(t), fresh).otherwise(runs).alias("runs"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("open"), F.array().cast("array<struct<phrase:string,pos:int>>").alias("runs"))
-    return tagged.select("doc_id", F.explode(F.aggregate("tokens", start, grow, lambda o: o["runs"])).alias("r")).select("doc_id", "r.phrase", "r.pos")
+    size = F.size("tokens")
+    kept = lambda i: F.coalesce(F.get("tokens", i)["pos"].isin(*scalars.KEEP_TAGS), F.lit(False))
+    places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+    bounds = tagged.select(
+        "doc_id", "tokens",
+        F.filter(places, lambda i: kept(i) & ~kept(i - 1)).alias("first"), F.filter(places, lambda i: kept(i) & ~kept(i + 1)).alias("last"),
+    )
+    word = lambda t: F.lower(t["token"])
+    runs = F.zip_with("first", "last", lambda a, b: F.struct(F.array_join(F.transform(F.slice("tokens", a + 1, b - a + 1), word), " ").alias("phrase"), a.alias("pos")))
+    return bounds.select("doc_id", F.explode(runs).alias("r")).select("doc_id", "r.phrase", "r.pos")
 
 
 def rank(w: np.ndarray, damping: float = DAMPING, rounds: int = ROUNDS) -> np.ndarray:
@@ -119,24 +117,30 @@ def affinity(places: list[list[int]]) -> np.ndarray:
 def merge_topics(phrases: list[tuple[str, int]], similar: float = SIMILAR) -> list[dict[str, list[int]]]:
     """Topics in the order of the text: the first topic with a phrase over `similar` takes a phrase; a known phrase adds its place."""
     topics: list[dict[str, list[int]]] = []
-    owner: dict[str, dict[str, list[int]]] = {}
-    words: dict[str, list[dict[str, list[int]]]] = {}
+    owner: dict[str, int] = {}
+    having: dict[str, list[tuple[str, int]]] = {}  # known phrases with a word, and their topics
     for phrase, pos in phrases:
         topic = owner.get(phrase)
         if topic is None:
-            near = [t for w in phrase.split(" ") for t in words.get(w, [])]
-            near = [t for t in near if any(dice(v, phrase) > similar for v in t)]
-            topic = min(near, key=lambda t: next(k for k, x in enumerate(topics) if x is t)) if near else None
+            others = {x for w in set(phrase.split(" ")) for x in having.get(w, ())}
+            topic = min((t for v, t in others if dice(v, phrase) > similar), default=None)
             if topic is None:
-                topic = {}
-                topics.append(topic)
+                topic = len(topics)
+                topics.append({})
             owner[phrase] = topic
             for w in set(phrase.split(" ")):
-                words.setdefault(w, []).append(topic)
-        topic.setdefault(phrase, []).append(pos)
+                having.setdefault(w, []).append((phrase, topic))
+        topics[topic].setdefault(phrase, []).append(pos)
     return topics
 
 
+def affinity_edges(places: DataFrame) -> DataFrame:
+    """(doc_id, a, b, weight), a < b, of (doc_id, topic, pos): the same affinities by a join inside each document."""
+    left = places.select("doc_id", F.col("topic").alias("a"), F.col("pos").alias("p"))
+    right = places.select("doc_id", F.col("topic").alias("b"), F.col("pos").alias("q"))
+    return left.join(right, "doc_id").where("a < b and p <> q").groupBy("doc_id", "a", "b").agg(F.sum(1.0 / F.abs(F.col("p") - F.col("q"))).alias("weight"))
+
+
 def topic_rank(phrases: DataFrame) -> DataFrame:
     """(doc_id, phrase, score) of (doc_id, phrase, pos): every variant of a topic has its topic's rank. One document a task group."""
 

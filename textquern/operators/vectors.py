@@ -50,3 +50,34 @@ def histogram(pairs: DataFrame, vectors: DataFrame, buckets: int = 100) -> DataF
     share = F.coalesce(F.try_divide("n_pairs", "total"), F.lit(0.0))
     running = F.sum("share").over(Window.orderBy("bucket"))  # one row for each of at most 101 buckets
     return rows.select("bucket", "n_pairs", share.alias("share")).withColumn("cumulative_share", running)
+
+
+def subtract(vectors: DataFrame, keys: DataFrame, most: int | None = None) -> DataFrame:
+    """Vectors without the features of `keys`; with `most`, only so many entries of each vector, in the order of their names."""
+    rows = vectors.join(keys.select("feature").distinct(), "feature", "left_anti").select("vec_id", "feature", "value")
+    if most is None:
+        return rows
+    place = F.row_number().over(Window.partitionBy("vec_id").orderBy("feature"))
+    return rows.withColumn("_r", place).where(F.col("_r") <= most).drop("_r")
+
+
+def similar_to(vectors: DataFrame, seed: int) -> DataFrame:
+    """(vec_id, similarity) of all other vectors by cosine to one, the most similar first; those that share nothing have 0."""
+    own = vectors.where(F.col("vec_id") == seed).select("feature", F.col("value").alias("x"))
+    dots = vectors.where(F.col("vec_id") != seed).join(own, "feature").groupBy("vec_id").agg(F.sum(F.col("value") * F.col("x")).alias("dot"))
+    size = own.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
+    rows = lengths(vectors.where(F.col("vec_id") != seed)).join(dots, "vec_id", "left").join(F.broadcast(size))
+    return rows.select("vec_id", F.coalesce(F.try_divide("dot", F.col("length") * F.col("size")), F.lit(0.0)).alias("similarity")).orderBy(F.desc(F.round("similarity", 9)), "vec_id")
+
+
+def sorted_edges(pairs: DataFrame) -> DataFrame:
+    """(src, dst, similarity) from the most similar pair on."""
+    return pairs.orderBy(F.desc(F.round("similarity", 9)), "src", "dst")
+
+
+def matrix_sums(cells: DataFrame, row: str, column: str, value: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(row, total), (column, total), and the largest cell (row, column, value; of equal ones the first by row and column) of a matrix in long form."""
+    rows = cells.groupBy(F.col(row).alias("row")).agg(F.sum(value).alias("total"))
+    columns = cells.groupBy(F.col(column).alias("column")).agg(F.sum(value).alias("total"))
+    best = F.min(F.struct((-F.col(value)).alias("v"), F.col(row).alias("row"), F.col(column).alias("column"))).alias("m")
+    return rows, columns, cells.agg(best).select("m.row", "m.column", (-F.col("m.v")).alias("value"))

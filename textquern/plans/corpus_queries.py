@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from textquern.functions import scalars
 from textquern.functions.stemmer import stem_terms
 from textquern.operators import text, topics
-from textquern.plans.registry import query
+from textquern.plans.registry import query, scratch
 from textquern.plans.sql import BM25, COUNTS, TFIDF, toks
 from textquern.sources import corpus
 from textquern.streaming.scorer import windowed_counts
@@ -18,7 +18,7 @@ def _counts(read):
 
 
 def _weigh(read, weight: str):
-    return text.weigh(text.weighted_counts(read("documents"), with_length=True), weight)
+    return text.weigh(text.weighted_counts(read("documents"), with_length=True), weight, docs=read("documents"))
 
 
 def _r(name: str):
@@ -47,7 +47,7 @@ def doc_length(read):
 
 @query(f"WITH {COUNTS} SELECT n_docs, avgdl FROM stats")
 def corpus_stats(read):
-    return text.corpus_stats(_counts(read))
+    return text.corpus_stats(_counts(read), docs=read("documents"))
 
 
 @query(f"WITH {TFIDF} SELECT doc_id, term, round(weight, 6) AS weight FROM weights")
@@ -110,29 +110,36 @@ def phrase_dice(read):
     return both.select("a", "b", F.round(scalars.phrase_dice(F.col("a"), F.col("b")), 6).alias("dice"))
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS pmid, source AS journal, CAST(1990 + doc_id % 30 AS INTEGER) AS year, lang AS title, len(string_split(coalesce(text, ''), ' ')[1:2]) AS n_labels FROM documents")
+_PLAIN_TEXT = "trim(regexp_replace(coalesce(text, ''), '[\\t\\n\\x0b\\f\\r ]+', ' ', 'g'))"
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS pmid, source AS journal, CAST(1990 + doc_id % 30 AS INTEGER) AS year, lang AS title, CAST(len(string_split({_PLAIN_TEXT}, ' ')) AS BIGINT) AS n_labels, md5({_PLAIN_TEXT}) AS digest FROM documents")
 def tagged_text_roundtrip(read):
-    """Documents written as tagged records and parsed again."""
-    labels = F.slice(F.split(F.coalesce(F.regexp_replace("text", "\n", " "), F.lit("")), " "), 1, 2)
+    """Documents, their whole texts on one line and each word as a label, written as tagged records and parsed again."""
+    plain = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\t\\n\\x0b\\f\\r ]+", " "))
+    labels = F.split(plain, " ")
     papers = read("documents").select(
         F.col("source").alias("journal"), F.transform(labels, lambda x: F.concat(F.lit("m"), x)).alias("meshMajor"), (1990 + F.col("doc_id") % 30).cast("int").alias("year"),
-        F.substring("source", 1, 3).alias("abstractText"), F.col("doc_id").cast("string").alias("pmid"), F.col("lang").alias("title"),
+        plain.alias("abstractText"), F.col("doc_id").cast("string").alias("pmid"), F.col("lang").alias("title"),
     )
     back = corpus.from_tagged(corpus.to_tagged(papers))
-    return back.select("pmid", "journal", "year", "title", F.size("meshMajor").cast("long").alias("n_labels"))
+    return back.select("pmid", "journal", "year", "title", F.size("meshMajor").cast("long").alias("n_labels"), F.md5("abstractText").alias("digest"))
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS pmid, lang AS journal, CAST(2000 + doc_id % 7 AS INTEGER) AS year, source AS title FROM documents")
+@query("SELECT CAST(doc_id AS VARCHAR) AS pmid, lang AS journal, CAST(2000 + doc_id % 7 AS INTEGER) AS year, source AS title, md5(coalesce(text, '')) AS digest FROM documents")
 def papers_roundtrip(read):
     """Documents as JSON lines with the line ends of a large array, parsed again."""
-    body = F.to_json(F.struct(F.col("lang").alias("journal"), F.array("lang").alias("meshMajor"), (2000 + F.col("doc_id") % 7).alias("year"), F.lit("").alias("abstractText"), F.col("doc_id").cast("string").alias("pmid"), F.col("source").alias("title")))
+    body = F.to_json(F.struct(F.col("lang").alias("journal"), F.array("lang").alias("meshMajor"), (2000 + F.col("doc_id") % 7).alias("year"), F.coalesce("text", F.lit("")).alias("abstractText"), F.col("doc_id").cast("string").alias("pmid"), F.col("source").alias("title")))
     lines = read("documents").select(F.concat(body, F.when(F.col("doc_id") % 5 == 0, F.lit("]}")).otherwise(F.lit(","))).alias("value"))
-    return corpus.parse_papers(lines).select("pmid", "journal", "year", "title")
+    return corpus.parse_papers(lines).select("pmid", "journal", "year", "title", F.md5("abstractText").alias("digest"))
 
 
 @query("SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n FROM orders GROUP BY 1")
 def year_partition_counts(read):
-    return read("orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n"))
+    """Orders written by year and read again."""
+    path = scratch(read)
+    corpus.write_by_year(read("orders").select("o_orderkey", F.year("o_orderdate").alias("year")), path)
+    return read("orders").sparkSession.read.parquet(path).groupBy("year").agg(F.count("*").alias("n"))
 
 
 @query("SELECT CAST(l_orderkey % 2 AS INTEGER) AS y, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS indexes, round(sum(l_quantity), 6) AS weights FROM lineitem GROUP BY 1")
@@ -172,16 +179,26 @@ def stem_counts(read):
     return stem_terms(text.doc_freq(_counts(read)))
 
 
-@query()
+def _tag_sql() -> str:
+    closed = " ".join(f"WHEN low IN ({', '.join(repr(w) for w, k in topics._CLOSED.items() if k == tag)}) THEN '{tag}'" for tag in dict.fromkeys(topics._CLOSED.values()))
+    endings = " ".join(f"WHEN len(low) > {len(e) + 2} AND ends_with(low, '{e}') THEN '{tag}'" for e, tag in topics._ENDINGS)
+    return f"""CASE {closed} WHEN regexp_full_match(t, '[0-9.,]+') THEN 'CD' WHEN NOT regexp_matches(t, '[\\p{{L}}\\p{{N}}_]') THEN CASE WHEN t IN ('!', '?') THEN '.' ELSE ',' END {endings}
+  WHEN regexp_matches(t, '^\\p{{Lu}}') AND pos > 0 AND before NOT IN ('!', '?') THEN 'NNP' WHEN ends_with(low, 's') AND NOT ends_with(low, 'ss') THEN 'NNS' ELSE 'NN' END"""
+
+
+@query(f"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[\\p{{L}}\\p{{N}}_]+(?:[-''][\\p{{L}}\\p{{N}}_]+)*|[^\\p{{L}}\\p{{N}}_\\s]') AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS t, unnest(range(0, len(w))) AS pos, unnest(list_transform(w, lambda x: lower(x))) AS low, unnest(list_concat([''], w[1:len(w) - 1])) AS before FROM w WHERE len(w) > 0),
+k AS (SELECT doc_id, low, pos FROM (SELECT *, {_tag_sql()} AS tag FROM t) WHERE tag IN ('NNPS', 'JJ', 'FW', 'JJR', 'NNS', 'NNP', 'NN')),
+g AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM k)
+SELECT doc_id, string_agg(low, ' ' ORDER BY pos) AS phrase, CAST(min(pos) AS INTEGER) AS pos FROM g GROUP BY doc_id, run""")
 def noun_phrases(read):
     return topics.noun_phrases(topics.tag(read("documents")))
 
 
 @query()
 def topic_rank(read):
-    """Ranks of the noun phrases of benchmark items."""
-    items = read("benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    return topics.topic_rank(topics.noun_phrases(topics.tag(items)))
+    """Ranks of the noun phrases of all documents."""
+    return topics.topic_rank(topics.noun_phrases(topics.tag(read("documents").select("doc_id", "text"))))
 
 
 @query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")

@@ -12,7 +12,7 @@ tok AS (
   UNION ALL SELECT doc_id, unnest({toks("array_to_string(l[2:], chr(10))")}), 1 FROM parts),
 counts AS (SELECT doc_id, term, CAST(sum(w) AS BIGINT) AS tf FROM tok GROUP BY ALL),
 dls AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS dl FROM counts GROUP BY doc_id),
-stats AS (SELECT count(*) AS n_docs, CAST(sum(dl) AS BIGINT) // count(*) AS avgdl FROM dls),
+stats AS (SELECT (SELECT count(*) FROM documents) AS n_docs, CAST(sum(dl) AS BIGINT) // (SELECT count(*) FROM documents) AS avgdl FROM dls),
 dfs AS (SELECT term, count(*) AS df FROM counts GROUP BY term)"""
 
 TFIDF = f"""{COUNTS},

@@ -133,12 +133,12 @@ def _label_vectors(read):
 @query()
 def kmeans(read):
     """Documents clustered by their weighted label sets."""
-    return cluster.kmeans(_label_vectors(read), 12, iterations=6)[0]
+    return cluster.kmeans(_label_vectors(read), 12)[0]
 
 
 @query()
 def leader_clustering(read):
-    return cluster.leader(_label_vectors(read), 0.5, rounds=2)[0]
+    return cluster.leader(_label_vectors(read), 0.5)[0]
 
 
 @query()
@@ -147,11 +147,21 @@ def cluster_tree(read):
     return cluster.tree(cluster.centroids(v, v.select("vec_id").distinct().withColumn("cluster_id", F.col("vec_id"))))
 
 
-@query()
+def _pagerank_rounds(n: int = 20) -> str:
+    parts = ["r0 AS (SELECT src AS node, 1.0::DOUBLE AS rank FROM sums)"]
+    for k in range(n):
+        parts.append(f"r{k + 1} AS MATERIALIZED (SELECT s.src AS node, 0.15 + 0.85 * coalesce(sum(e.share * r.rank), 0) AS rank FROM sums s LEFT JOIN shares e ON e.dst = s.src LEFT JOIN r{k} r ON r.node = e.src GROUP BY s.src)")
+    return ",\n".join(parts)
+
+
+@query(f"""WITH {BASKETS}, edges AS (SELECT a.label AS src, b.label AS dst, CAST(count(*) AS DOUBLE) AS weight FROM pairs a JOIN pairs b USING (doc_id) WHERE a.label <> b.label GROUP BY ALL),
+sums AS MATERIALIZED (SELECT src, sum(weight) AS total FROM edges GROUP BY src), shares AS MATERIALIZED (SELECT src, dst, weight / total AS share FROM edges JOIN sums USING (src)),
+{_pagerank_rounds()} SELECT node, round(rank, 6) AS rank FROM r20""")
 def label_pagerank(read):
     """Ranks of suppliers on the graph of orders they share."""
     e = labels.pair_counts(labels.basket_labels(read("lineitem")))
-    return topics.weighted_pagerank(e.select(F.col("label_a").alias("src"), F.col("label_b").alias("dst"), F.col("n_docs").cast("double").alias("weight")))
+    ranks = topics.weighted_pagerank(e.select(F.col("label_a").alias("src"), F.col("label_b").alias("dst"), F.col("n_docs").cast("double").alias("weight")))
+    return ranks.select("node", F.round("rank", 6).alias("rank"))
 
 
 @query(f"WITH {BASKETS} SELECT count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM pairs")
@@ -159,7 +169,8 @@ def basket_size(read):
     return labels.basket_labels(read("lineitem")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
-@query()
+@query(f"""WITH {NATIONS}, h AS (SELECT md5(concat_ws(chr(1), CAST(cluster_id AS VARCHAR), feature, CAST(value AS VARCHAR))) AS h FROM centres)
+SELECT md5(concat_ws(':', CAST(count(*) AS VARCHAR), {", ".join(f"CAST(CAST(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)) AS HUGEINT) AS VARCHAR)" for i in range(4))})) AS fingerprint FROM h""")
 def model_fingerprint(read):
     v = nation_vectors(read)
     return cluster.content_hash(cluster.centroids(v, _membership(v)))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textquern.operators import metrics
+
 PAPER = "journal STRING, meshMajor ARRAY<STRING>, year INT, abstractText STRING, pmid STRING, title STRING"
 
 
@@ -168,3 +170,71 @@ def export_text(docs: DataFrame, path: str, ascii_only: bool = False) -> None:
     """One text a line, line ends as spaces."""
     text = F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")
     docs.select((F.regexp_replace(text, r"[^\x00-\x7F]", "") if ascii_only else text).alias("value")).write.mode("overwrite").text(path)
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """(name, length) of the files under a folder, whatever file system it is on."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.substring_index("path", "/", -1).alias("name"), "length")
+
+
+def write_dictionary(entries: DataFrame, path: str) -> None:
+    """Entries (term, prefix) as text: a block for each prefix, its terms on lines of their own behind a tab."""
+    blocks = entries.groupBy("prefix").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    blocks.select(F.concat("prefix", F.lit("\n\t"), F.array_join("terms", "\n\t")).alias("value")).write.mode("overwrite").option("lineSep", "\n\n").text(path)
+
+
+def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """(term, prefix) of such blocks."""
+    lines = F.split("value", "\n\t")
+    rows = spark.read.option("lineSep", "\n\n").text(path).where("value <> ''").select(lines[0].alias("prefix"), F.explode(F.slice(lines, 2, F.size(lines))).alias("term"))
+    return rows.select("term", "prefix")
+
+
+def vocabulary(features: DataFrame) -> DataFrame:
+    """(feature, index) from 1 on, in the order of names: for a label's selected features, which are few."""
+    return features.select("feature").distinct().withColumn("index", F.row_number().over(Window.orderBy("feature")))
+
+
+def write_training_file(rows: DataFrame, words: DataFrame, path: str) -> None:
+    """Rows (doc_id, y, feature, value) as sparse lines under `path`/rows, and the vocabulary (feature, index) under `path`/vocabulary."""
+    cells = rows.join(F.broadcast(words), "feature").groupBy("doc_id", "y").agg(F.array_sort(F.collect_list(F.struct("index", F.col("value").alias("weight")))).alias("features"))
+    cells.select(to_sparse_line("features", "y").alias("value")).write.mode("overwrite").text(f"{path}/rows")
+    words.select(F.concat_ws("\t", "index", "feature").alias("value")).write.mode("overwrite").text(f"{path}/vocabulary")
+
+
+def read_training_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """((features, y), (feature, index))."""
+    parts = F.split("value", "\t", 2)
+    return from_sparse_line(spark.read.text(f"{path}/rows")), spark.read.text(f"{path}/vocabulary").select(parts[1].alias("feature"), parts[0].cast("int").alias("index"))
+
+
+def write_svm_model(models: DataFrame, path: str) -> None:
+    """Models (kind, kernel, rho, alpha, sv) as text: a header of `key value` lines, then a line for each support vector."""
+    cells = lambda v: F.array_join(F.filter(F.transform(v, lambda x, i: F.when(x != 0, F.concat_ws(":", (i + 1).cast("string"), x.cast("string")))), lambda c: c.isNotNull()), " ")
+    lines = F.zip_with("alpha", "sv", lambda a, v: F.concat_ws(" ", a.cast("string"), cells(v)))
+    head = [F.concat(F.lit(f"{k} "), F.col(c).cast("string")) for k, c in (("svm_type", "kind"), ("kernel_type", "kernel"), ("rho", "rho"))]
+    size = F.concat(F.lit("width "), F.coalesce(F.size(F.get("sv", F.lit(0))), F.lit(0)).cast("string"))
+    models.select(F.array_join(F.concat(F.array(*head, size, F.lit("SV")), lines), "\n").alias("value")).write.mode("overwrite").option("lineSep", "\n\n").text(path)
+
+
+def read_svm_model(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, kernel, rho, alpha, sv) of such text; the kind is what the header says."""
+    lines = F.split("value", "\n")
+    field = lambda k: F.substring_index(F.get(F.filter(lines, lambda x: x.startswith(f"{k} ")), F.lit(0)), " ", -1)
+    body = F.slice(lines, F.array_position(lines, "SV").cast("int") + 1, F.size(lines))
+    rows = spark.read.option("lineSep", "\n\n").text(path).where("value <> ''").select(field("svm_type").alias("kind"), field("kernel_type").alias("kernel"), field("rho").cast("double").alias("rho"), field("width").cast("int").alias("width"), body.alias("body"))
+    parts = lambda x: F.split(x, " ")
+    cells = lambda x: F.map_from_entries(F.transform(F.filter(parts(x), lambda c: c.contains(":")), lambda c: F.struct(F.substring_index(c, ":", 1).cast("int").alias("i"), F.substring_index(c, ":", -1).cast("double").alias("v"))))
+    dense = lambda x: F.transform(F.sequence(F.lit(1), F.col("width")), lambda i: F.coalesce(F.try_element_at(cells(x), i), F.lit(0.0)))
+    return rows.select("kind", "kernel", "rho", F.transform("body", lambda x: F.get(parts(x), F.lit(0)).cast("double")).alias("alpha"), F.transform("body", dense).alias("sv"))
+
+
+def write_evaluation(truth: DataFrame, predicted: DataFrame, candidates: DataFrame, path: str) -> None:
+    """Five reports under `path`: documents, labels, summary, unseen and candidates."""
+    scores = metrics.document_scores(truth, predicted)
+    reports = {
+        "documents": scores.join(metrics.document_details(truth, predicted), "doc_id"), "labels": metrics.label_report(truth, predicted),
+        "summary": metrics.macro_scores(scores), "unseen": metrics.unseen_labels(truth, candidates), "candidates": candidates.select("label").distinct(),
+    }
+    for name, rows in reports.items():
+        write_report(rows, f"{path}/{name}")
