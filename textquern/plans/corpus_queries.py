@@ -173,6 +173,12 @@ def tool_concepts(read):
     return topics.tool_concepts(lines)
 
 
+@query()
+def stemmed_counts(read):
+    """Weighted counts of stems."""
+    return text.weighted_counts(read("documents"), stemmed=True)
+
+
 @query()
 def stem_counts(read):
     """Distinct terms and their stems."""
