@@ -52,11 +52,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def packing_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All three limits: only the assistant's turns bear loss."""
+    return packing.pack_conversations(table(spark, sf_dir, "conversations"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_fingerprints, op3_urlfilter, op4_toxicity, op5_embeddings,
-        op6_licenses, op7_quality, op8_pii, op9_bpe, op10_packing,
+        op6_licenses, op7_quality, op8_pii, op9_bpe, op10_packing, packing_conversations,
     )
 }
 ORACLE: dict[str, str] = {"op3_urlfilter": urlfilter.SQL}
