@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from textquern.llm import bpe, embeddings, fingerprints, graph, licenses, packing, pii, quality, simhash, toxicity, urlfilter
+from textquern.llm import bpe, embeddings, fingerprints, graph, licenses, nearcopies, packing, pii, quality, simhash, toxicity, urlfilter
 from textquern.llm.license_rules import parse
 
 DATA = "/root/testdata/sf0.001"
@@ -792,3 +792,35 @@ def test_memo_forgets_by_generations():
         memo.keep({k: 1 for k in unknown})
         assert len(memo.new) + len(memo.old) <= 9
         assert "hot" not in unknown or i == 0
+
+
+@pytest.mark.parametrize("chunk", [2_000_000, 60_000])
+def test_crowded_near_copies_are_not_all_paired(spark, monkeypatch, chunk):
+    """Many variants of one text: the same components as by brute force, from far fewer pairs than the variants have."""
+    monkeypatch.setattr(nearcopies, "CHUNK", chunk)
+    rng = random.Random(4)
+    base = [f"v{rng.randrange(5000)}" for _ in range(200)]
+    rows = [(k, " ".join(f"o{rng.randrange(5000)}" for _ in range(60))) for k in range(60)]
+    for k in range(700):
+        words = list(base)
+        for _ in range(rng.randrange(1, 14)):
+            words[rng.randrange(200)] = f"u{rng.randrange(50_000)}"
+        rows += [(1000 + k, " ".join(words))] * (1 + (k < 3))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets = {i: frozenset(nearcopies.shingles(t).tolist()) for i, t in rows}
+    groups = brute_components(sorted(sets), lambda a, b: 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])))
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(df).collect()}
+    assert got == groups and 1 < len(set(groups.values())) < 600
+    assert nearcopies.candidates(df).count() < 20 * len(sets)
+
+
+def test_meeting_pairs_lose_none():
+    """Pairs by shared tokens, with and without pivots, against all pairs."""
+    rng = np.random.default_rng(5)
+    node = np.repeat(np.arange(60, dtype=np.int64), 5)
+    n, pivot = rng.integers(8, 16, 60), rng.integers(-1, 2, 60)
+    token, flag = rng.integers(0, 40, 300).astype(np.uint32), rng.integers(0, 2, 300)
+    got = {(min(a, b), max(a, b)) for x, y in nearcopies._meet(token, node, (2 * n[node] + flag).astype(np.uint32), pivot[node].astype(np.int16)) for a, b in zip(x.tolist(), y.tolist())}
+    shows = [{t: max(flag[5 * i + k] for k in range(5) if token[5 * i + k] == t) for t in token[5 * i : 5 * i + 5].tolist()} for i in range(60)]
+    must = {(i, j) for i in range(60) for j in range(i + 1, 60) if not pivot[i] == pivot[j] >= 0 and 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]) and any(t in shows[j] and (n[i] != n[j] and shows[i if n[i] < n[j] else j][t] or n[i] == n[j] and shows[i][t] and shows[j][t]) for t in shows[i])}
+    assert must and must <= got and not any(pivot[i] == pivot[j] >= 0 for i, j in got)
