@@ -809,7 +809,7 @@ def test_crowded_near_copies_are_not_all_paired(spark, monkeypatch, chunk):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     sets = {i: frozenset(nearcopies.shingles(t).tolist()) for i, t in rows}
     groups = brute_components(sorted(sets), lambda a, b: 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])))
-    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(df).collect()}
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(df, simhash.close_pairs).collect()}
     assert got == groups and 1 < len(set(groups.values())) < 600
     assert nearcopies.candidates(df).count() < 20 * len(sets)
 
@@ -824,3 +824,22 @@ def test_meeting_pairs_lose_none():
     shows = [{t: max(flag[5 * i + k] for k in range(5) if token[5 * i + k] == t) for t in token[5 * i : 5 * i + 5].tolist()} for i in range(60)]
     must = {(i, j) for i in range(60) for j in range(i + 1, 60) if not pivot[i] == pivot[j] >= 0 and 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]) and any(t in shows[j] and (n[i] != n[j] and shows[i if n[i] < n[j] else j][t] or n[i] == n[j] and shows[i][t] and shows[j][t]) for t in shows[i])}
     assert must and must <= got and not any(pivot[i] == pivot[j] >= 0 for i, j in got)
+
+
+def test_stage_links_close_fingerprints_by_pivot_tables(spark, docs, monkeypatch):
+    """The pipeline's stage gives the fingerprints of all five-word sets to the pivot tables, and pairs of sets come of what they find."""
+    seen, close = [], simhash.close_pairs
+
+    def watched(distinct):
+        seen.append({r.fp for r in distinct.collect()})
+        return close(distinct)
+
+    monkeypatch.setattr(simhash, "close_pairs", watched)
+    some = docs.limit(60)
+    dict(corpus_pipeline.STAGES)["simhash"](spark, some, DATA).count()
+    sets = {r.doc_id: nearcopies.shingles(r.text or "") for r in some.collect()}
+    votes = {i: [sum(int(h) >> b & 1 for h in s) for b in range(64)] for i, s in sets.items()}
+    prints = {i: sum(1 << b for b in range(64) if 2 * v[b] > len(sets[i])) for i, v in votes.items()}
+    assert seen == [{x - (1 << 64) if x >> 63 else x for x in prints.values()}]
+    nodes = spark.createDataFrame([(1, 7), (2, 7), (3, 4), (5, -1)], "node long, fp long")
+    assert {(r.a, r.b) for r in nearcopies.close_nodes(nodes, close).collect()} in ({(2, 1), (1, 3)}, {(2, 1), (3, 1)})

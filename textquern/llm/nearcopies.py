@@ -16,7 +16,12 @@ their own, by exact signatures first, which give only links that span their comp
 different pivots or none meet by the prefix join. Pivots change which pairs are looked at where,
 never which components are found.
 
-Candidate pairs of the prefix join are judged by exact signatures, and the texts of what is left
+SimHash fingerprints of the sets come first: equal and close ones (`simhash.close_pairs`, by pivot
+distance tables) are verified, and pairs of the prefix join that these links connect are dropped.
+At the bound fingerprints differ in about 10 bits of 64, up to 18, which no table of distances tells
+from chance; the prefix join finds what fingerprints can't.
+
+Candidate pairs of either kind are judged by exact signatures, and the texts of what is left
 travel packed.
 
 Edge cases: a null text counts as empty; texts without words are copies of each other; one to four
@@ -28,6 +33,7 @@ each), but no more than a spanning tree in each place leaves it; a crowd that th
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from itertools import accumulate, chain, repeat
 
 import numpy as np
@@ -48,8 +54,9 @@ SAMPLE, COMMON, MOST, BEGIN = 8, 4, 100_000, 1.25
 PIVOTS, CROWD, RADIUS, AROUND, CHUNK = 256, 8, 20, 26, 2_000_000
 #: Bits of the signatures that candidate pairs are judged by before their texts are sent.
 BITS = 2048
-#: Texts whose shingles are sent at once, and pairs that are held before they go on.
-TEXTS, PAIRS = 1000, 1_000_000
+_BLOCK = 1 << 16
+#: Texts that are looked at and whose shingles are sent at once, and pairs that are held before they go on.
+TEXTS, PAIRS = 500, 250_000
 #: Pairs that are looked at together, and names of crowded texts that a task remembers as sent.
 STEP, SENT = 1 << 18, 100_000
 #: Most nodes that are broadcast to pick the texts that candidate pairs name (counted first).
@@ -72,6 +79,14 @@ def _name(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), 42)).view(np.int64))
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """The SimHash of a set of shingles: a bit is set by more than half of them."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(found), _BLOCK):
+        counts += np.unpackbits(found[i : i + _BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(found)).tobytes(), "big")
+
+
 def _prefix(n: int) -> int:
     """How many shingles of n the longer of two linked sets shows."""
     return n - -(-NUM * n // DEN) + 1
@@ -82,16 +97,23 @@ def text_names(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")
 
 
+def _parts(batches):
+    """Batches of at most TEXTS rows: a worker holds few texts and sets at once."""
+    for b in batches:
+        yield from (b.slice(at, TEXTS) for at in range(0, b.num_rows, TEXTS))
+
+
 def names(docs: DataFrame) -> DataFrame:
-    """(doc_id, h1, h2, node) of every row: hashes of the text, and the name of its set of shingles."""
+    """(doc_id, h1, h2, node, fp) of every row: hashes of the text, the name of its set of shingles and the set's fingerprint."""
 
     def run(batches):
-        for b in batches:
-            nodes = [_name(shingles(t)) for t in texts(b)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h1"), b.column("h2"), pa.array(nodes, pa.int64())], ["doc_id", "h1", "h2", "node"])
+        for b in _parts(batches):
+            sets = [shingles(t) for t in texts(b)]
+            prints = np.array([fingerprint(x) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h1"), b.column("h2"), pa.array([_name(x) for x in sets], pa.int64()), pa.array(prints)], ["doc_id", "h1", "h2", "node", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_names(F.coalesce("text", F.lit(""))), "text")
-    return arrow_map(rows, run, "doc_id long, h1 long, h2 long, node long")
+    return arrow_map(rows, run, "doc_id long, h1 long, h2 long, node long, fp long")
 
 
 def _begins(batches, late: np.ndarray, centres: np.ndarray, longer: float = 1.0):
@@ -101,31 +123,29 @@ def _begins(batches, late: np.ndarray, centres: np.ndarray, longer: float = 1.0)
     pivot is the nearest of `centres` to the fingerprint of a text that begins with frequent shingles, a quarter at least; -1 if none is within AROUND;
     crowd has (pivot, node, set) of texts that have one.
     """
-    for batch in batches:
-        every = texts(batch)
-        for at in range(0, len(every), TEXTS):
-            tokens, nodes, sizes, near, crowd = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.int16)], []
-            for t in every[at : at + TEXTS]:
-                found = whole = shingles(t)
-                n = len(found)
-                if not n:
-                    continue
-                name, shown, pivot = _name(found), int(_prefix(n) * longer), -1
-                if len(late):
-                    behind = late[np.minimum(np.searchsorted(late, found), len(late) - 1)] == found
-                    found = np.concatenate([found[~behind], found[behind]])
-                    begin = behind[: int(shown * BEGIN)]
-                    if len(centres) and 4 * np.count_nonzero(begin) >= len(begin):
-                        far = np.bitwise_count(centres ^ np.uint64(fingerprint(whole)))
-                        if far.min() <= AROUND:
-                            pivot = int(far.argmin())
-                            crowd.append((pivot, name, whole))
-                tokens.append(found[:shown])
-                k = len(tokens[-1])
-                nodes.append(np.full(k, name))
-                sizes.append((2 * n + (np.arange(k) < n - -(-2 * NUM * n // (NUM + DEN)) + 1)).astype(np.uint32))
-                near.append(np.full(k, pivot, np.int16))
-            yield np.concatenate(tokens), np.concatenate(nodes), np.concatenate(sizes), np.concatenate(near), crowd
+    for batch in _parts(batches):
+        tokens, nodes, sizes, near, crowd = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.int16)], []
+        for t in texts(batch):
+            found = whole = shingles(t)
+            n = len(found)
+            if not n:
+                continue
+            name, shown, pivot = _name(found), int(_prefix(n) * longer), -1
+            if len(late):
+                behind = late[np.minimum(np.searchsorted(late, found), len(late) - 1)] == found
+                found = np.concatenate([found[~behind], found[behind]])
+                begin = behind[: int(shown * BEGIN)]
+                if len(centres) and 4 * np.count_nonzero(begin) >= len(begin):
+                    far = np.bitwise_count(centres ^ np.uint64(fingerprint(whole)))
+                    if far.min() <= AROUND:
+                        pivot = int(far.argmin())
+                        crowd.append((pivot, name, whole))
+            tokens.append(found[:shown])
+            k = len(tokens[-1])
+            nodes.append(np.full(k, name))
+            sizes.append((2 * n + (np.arange(k) < n - -(-2 * NUM * n // (NUM + DEN)) + 1)).astype(np.uint32))
+            near.append(np.full(k, pivot, np.int16))
+        yield np.concatenate(tokens), np.concatenate(nodes), np.concatenate(sizes), np.concatenate(near), crowd
 
 
 def _sample(docs: DataFrame) -> DataFrame:
@@ -144,12 +164,6 @@ def frequent(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.token for r in rows], np.int64).view(np.uint64))
 
 
-def fingerprint(found: np.ndarray) -> int:
-    """The SimHash of a set of shingles: a bit is set by more than half of them."""
-    counts = np.unpackbits(found.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(found)).tobytes(), "big")
-
-
 def _centres(prints: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[int]]:
     """The pivots, most crowded first, and the number of shingles around each, of fingerprints (and sizes) of a sample."""
     found = []
@@ -171,7 +185,7 @@ def pivots(docs: DataFrame, late: np.ndarray) -> tuple[np.ndarray, list[int]]:
     """Fingerprints amid many different texts of the sample, and into how many chunks the texts around each go."""
 
     def run(batches):
-        for b in batches:
+        for b in _parts(batches):
             rows = []
             for found in map(shingles, texts(b)):
                 begin = found[: int(_prefix(len(found)) * BEGIN)]
@@ -225,7 +239,9 @@ def _meet(token: np.ndarray, node: np.ndarray, size: np.ndarray, pivot: np.ndarr
 
 
 def _is_link(v: np.ndarray, u: np.ndarray) -> bool:
-    """Whether two sets, neither empty, are linked."""
+    """Whether two different sets are linked."""
+    if not len(u) or not len(v):
+        return False
     common = np.count_nonzero(v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u)
     return bool((NUM + DEN) * common >= NUM * (len(u) + len(v)))
 
@@ -330,14 +346,26 @@ def candidates(docs: DataFrame) -> DataFrame:
     return arrow_map(sent.repartition("place").sortWithinPartitions("place"), meet, "a long, b long, sure boolean").distinct()
 
 
-def links(docs: DataFrame) -> DataFrame:
-    """(a, b): pairs of different sets that are linked, all but some that others connect."""
-    found = cut(candidates(docs))
-    pairs = found.where("not sure").select("a", "b")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def close_nodes(nodes: DataFrame, close: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b): each node (node, fp) with the first one of its fingerprint, and the first ones of the pairs of fingerprints that `close` finds."""
+    heads = cut(nodes.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("_n")))
+    same = hot_join(nodes.select("node", "fp"), heads, ["fp"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    pairs = close(heads.select("fp")).join(heads.select(F.col("fp").alias("a"), F.col("head").alias("ha")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("hb")), "b")
+    return same.union(pairs.select("ha", "hb"))
+
+
+def links(docs: DataFrame, nodes: DataFrame, close: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b): pairs of different sets that are linked, all but some that others connect.
+
+    Close fingerprints come first; what they and the crowds connect needs no look at further pairs.
+    """
+    near, found = cut(close_nodes(nodes, close)), cut(candidates(docs))
+    pairs, sure = found.where("not sure").select("a", "b"), found.where("sure").select("a", "b")
+    named = pairs.union(near)
+    wanted = named.select(F.col("a").alias("node")).union(named.select("b")).distinct()
 
     def pack(batches):
-        for b in batches:
+        for b in _parts(batches):
             every = texts(b)
             sets = [shingles(t) for t in every]
             packed = [zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in every]
@@ -355,7 +383,7 @@ def links(docs: DataFrame) -> DataFrame:
 
     def verify(batches):
         last, u = None, None
-        for batch in batches:
+        for batch in _parts(batches):
             keep = []
             for fa, fb in zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist()):
                 if fb != last:  # rows come by b
@@ -366,17 +394,27 @@ def links(docs: DataFrame) -> DataFrame:
     wanted = cut(wanted)
     few = F.broadcast(wanted) if wanted.count() <= SMALL else wanted
     whole = cut(arrow_map(docs.select("text"), pack, "node long, packed binary, sign binary, n long").join(few, "node", "left_semi").dropDuplicates(["node"]))
-    signed = pairs.join(whole.select(F.col("node").alias("a"), F.col("sign").alias("sa"), F.col("n").alias("na")), "a").join(whole.select(F.col("node").alias("b"), F.col("sign").alias("sb"), F.col("n").alias("nb")), "b")
-    near = cut(arrow_map(signed.select("a", "b", "sa", "sb", "na", "nb"), judge, "a long, b long"))
-    both = near.join(whole.select(F.col("node").alias("a"), F.col("packed").alias("fa")), "a").join(whole.select(F.col("node").alias("b"), F.col("packed").alias("fb")), "b")
-    return arrow_map(both.select("a", "b", "fa", "fb"), verify, "a long, b long").union(found.where("sure").select("a", "b"))
+
+    def linked(some):
+        signed = some.join(whole.select(F.col("node").alias("a"), F.col("sign").alias("sa"), F.col("n").alias("na")), "a").join(whole.select(F.col("node").alias("b"), F.col("sign").alias("sb"), F.col("n").alias("nb")), "b")
+        fit = cut(arrow_map(signed.select("a", "b", "sa", "sb", "na", "nb"), judge, "a long, b long"))
+        both = fit.join(whole.select(F.col("node").alias("a"), F.col("packed").alias("fa")), "a").join(whole.select(F.col("node").alias("b"), F.col("packed").alias("fb")), "b")
+        return arrow_map(both.select("a", "b", "fa", "fb"), verify, "a long, b long")
+
+    first = cut(linked(near).union(sure))
+    roots = components(first)
+    ends = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    return first.union(linked(ends.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")))
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, h1, h2, root, component_id) of every row; a component is named by its smallest doc_id."""
+def near_copies(docs: DataFrame, close: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(doc_id, h1, h2, root, component_id) of every row; a component is named by its smallest doc_id.
+
+    `close` finds the pairs (a, b) of close fingerprints among distinct ones (fp).
+    """
     named = cut(names(docs))
-    roots = components(links(docs))
-    nodes = named.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    nodes = cut(named.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("fp").alias("fp")))
+    roots = components(links(docs, nodes, close))
     rooted = cut(nodes.join(roots, "node", "left").select("node", "first", "copies", F.coalesce("root", "node").alias("root")))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("_n"))
     of_node = cut(hot_join(rooted, least, ["root"]).select("node", "root", "component_id", F.col("copies").alias("_n")))

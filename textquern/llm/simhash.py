@@ -142,13 +142,14 @@ def near_groups(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, small: int = SMALL) -> DataFrame:
     """One document of each group of near copies, with all columns: its smallest doc_id; no doc_id only if no row has one.
 
-    The groups are those of `nearcopies` (five words, Jaccard 0.8), not of the fingerprints. Rows are
+    The groups are those of `nearcopies` (five words, Jaccard 0.8): links of close fingerprints first,
+    by the same pivot distance tables, then those that fingerprints are too far apart for. Rows are
     judged by what they hold: rows that share a doc_id but not a text are in groups of their own. Of
     repeated rows (one doc_id, one text) one stays, whatever their other columns, which may have any
     type. Rows that go are told by doc_id and a hash of the text; up to `small` of these are broadcast,
     so texts stay where they are, more meet by shuffle. Only repeated rows are ever gathered whole.
     """
-    found = cut(near_copies(docs).select("doc_id", "h1", "h2", "root"))
+    found = cut(near_copies(docs, close_pairs).select("doc_id", "h1", "h2", "root"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
     rows = found.groupBy("root", "doc_id", "h1", "h2").agg(F.count("*").alias("k"))
     heads = rows.groupBy("root").agg(F.min(rank).alias("h"), F.count("*").alias("_n"))
