@@ -56,9 +56,9 @@ PIVOTS, CROWD, RADIUS, AROUND, CHUNK = 256, 8, 20, 26, 2_000_000
 BITS = 2048
 _BLOCK = 1 << 16
 #: Texts that are looked at and whose shingles are sent at once, and pairs that are held before they go on.
-TEXTS, PAIRS = 500, 250_000
+TEXTS, PAIRS = 500, 100_000
 #: Pairs that are looked at together, and names of crowded texts that a task remembers as sent.
-STEP, SENT = 1 << 18, 100_000
+STEP, SENT = 1 << 16, 100_000
 #: Most nodes that are broadcast to pick the texts that candidate pairs name (counted first).
 SMALL = 2_000_000
 
