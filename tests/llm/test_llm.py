@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -16,6 +17,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from textquern.llm import bpe, embeddings, fingerprints, graph, licenses, nearcopies, packing, pii, quality, simhash, toxicity, urlfilter
+from textquern.llm.common import arrow_map
 from textquern.llm.license_rules import parse
 
 DATA = "/root/testdata/sf0.001"
@@ -843,3 +845,31 @@ def test_stage_links_close_fingerprints_by_pivot_tables(spark, docs, monkeypatch
     assert seen == [{x - (1 << 64) if x >> 63 else x for x in prints.values()}]
     nodes = spark.createDataFrame([(1, 7), (2, 7), (3, 4), (5, -1)], "node long, fp long")
     assert {(r.a, r.b) for r in nearcopies.close_nodes(nodes, close).collect()} in ({(2, 1), (1, 3)}, {(2, 1), (3, 1)})
+
+
+def test_stages_send_small_batches_of_any_size(spark, docs):
+    """A stage lowers what goes to a Python worker at once, keeps a session's own lower limit, and gives the same rows with either."""
+    key, some = "spark.sql.execution.arrow.maxBytesPerBatch", docs.limit(60)
+    before = spark.conf.get(key)
+    wide = spark.range(0, 4000, 1, 1).select("id", F.repeat(F.lit("x"), 1500).alias("text"))
+    measured = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            if name == "pii":  # no Python in it
+                continue
+            found = []
+            for limit, most in (("64m", 2 << 20), ("4k", 4 << 10)):
+                spark.conf.set(key, limit)
+                found.append(sorted(map(repr, stage(spark, some, DATA).collect())))
+                assert max(r.n for r in arrow_map(wide.limit(4000 if limit == "64m" else 9), measured, "n long").collect()) < most + 1520, (name, limit)  # and one row
+            assert found[0] == found[1] and found[0], name
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_workers_drop_what_other_operators_keep(spark, docs):
+    """The tokenizer of packing and its memo serve packing's tasks only; before, each reused worker held them through every later stage."""
+    kept = lambda batches: (pa.RecordBatch.from_arrays([pa.array([packing.word_tokenizer.cache_info().currsize])], ["n"]) for b in batches)
+    for _ in range(2):  # a tokenizer that was dropped comes again
+        assert packing.pack_documents(docs.repartition(8), WORDS).agg(F.sum("length")).first()[0] > 0
+        assert {r.n for r in arrow_map(spark.range(0, 64, 1, 16), kept, "n long").collect()} == {0}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -11,7 +12,10 @@ from pyspark.sql import functions as F
 
 from textquern.session import cut
 
-__all__ = ["LETTERS", "Memo", "arrow_map", "cut", "fold", "hot_join", "slices", "table", "texts"]
+__all__ = ["KEPT", "LETTERS", "Memo", "arrow_map", "cut", "fold", "hot_join", "slices", "table", "texts"]
+
+#: By module, how to drop what it keeps in a Python worker from task to task.
+KEPT: dict[str, Callable[[], None]] = {}
 
 #: Letters A-Z and every byte that is no word byte: for words of letters, digits and all that is beyond ASCII.
 LETTERS = bytes(
@@ -24,9 +28,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _trim() -> None:
+    """Give free memory back to the system; allocators keep it otherwise, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def _alone(function: Callable, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The function's batches, in a worker that drops what other modules keep before, and free memory after."""
+    for module, drop in KEPT.items():
+        if module != function.__module__:
+            drop()
+    try:
+        yield from function(batches)
+    finally:
+        _trim()
+
+
 def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow without a barrier: a lost task is run again from its own input."""
-    return df.mapInArrow(function, schema)
+    """mapInArrow without a barrier: a lost task is run again from its own input. A worker holds what tasks of one module need, not of several."""
+
+    def run(batches):
+        return _alone(function, batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:

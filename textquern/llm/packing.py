@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquern.llm.common import Memo, arrow_map, texts
+from textquern.llm.common import KEPT, Memo, arrow_map, texts
 
 #: Pieces that wait for a place, in each partition.
 WINDOW = 256
@@ -130,6 +130,9 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+KEPT[__name__] = word_tokenizer.cache_clear
+
+
 @dataclass
 class Item:
     """A document's ids from `start` on, and the running count of its loss-bearing tokens (None: all bear loss)."""

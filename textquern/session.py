@@ -16,6 +16,9 @@ SETTINGS = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+#: Bytes of rows, and one row more, that go to a Python worker at once in the pipeline.
+BATCH = 2 << 20
+
 
 def get_session(master: str = "local[*]", partitions: int = 8, memory: str = "4g") -> SparkSession:
     """A session for tests and for the bench; on a cluster pass the session you have."""
@@ -41,6 +44,17 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python workers in batches of about BATCH bytes, not ten thousand whole texts, from here on in this session.
+
+    The JVM, outside its heap, and the worker both hold whole batches. The setting is read when a plan
+    runs, so it stays; it never changes results, and a session's own lower limit stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    spark.conf.set(key, str(min(own, BATCH)))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate results, wherever it is."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
