@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,6 +26,15 @@ def test_map_similarities(spark):
     assert r.c == pytest.approx(0.536656, abs=1e-6) and r.j == pytest.approx(1 / 3) and r.z == 0.0 and r.one == pytest.approx(1.0) and r.len == pytest.approx(3.0)
 
 
+def test_rescaling_takes_linear_time(spark):
+    rows = spark.range(1).select(F.map_from_entries(F.transform(F.sequence(F.lit(1), F.lit(20000)), lambda i: F.struct(i.cast("string"), i.cast("double")))).alias("v"))
+    rows = rows.unionByName(spark.sql("SELECT cast(map() as map<string,double>) v")).unionByName(spark.sql("SELECT cast(null as map<string,double>) v"))
+    began = time.perf_counter()
+    got = [r.n for r in rows.select(scalars.map_length(scalars.map_rescale("v", 10.0)).alias("n")).collect()]
+    assert got[:2] == pytest.approx([10.0, 0.0]) and got[2] is None
+    assert time.perf_counter() - began < 20  # 20,000 lengths of 20,000 values took over a minute
+
+
 def test_phrases_and_labels(spark):
     df = spark.createDataFrame([("ion exchange", "ion exchanger", ["ion", "exchange", "the"])], "a string, b string, w array<string>")
     r = df.select(

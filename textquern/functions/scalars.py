@@ -86,10 +86,10 @@ def map_jaccard(a: Column | str, b: Column | str) -> Column:
 
 
 def map_rescale(v: Column | str, length: float) -> Column:
-    """The vector with the given length; unchanged if it has none."""
+    """The vector with the given length; unchanged if it has none. Its own length is taken once, not for each value."""
     v = F.col(v) if isinstance(v, str) else v
-    own = map_length(v)
-    return F.transform_values(v, lambda k, x: F.when(own > 0, x * F.lit(length) / own).otherwise(x))
+    once = F.array(F.struct(v.alias("v"), map_length(v).alias("own")))
+    return F.transform(once, lambda p: F.transform_values(p["v"], lambda k, x: F.when(p["own"] > 0, x * F.lit(length) / p["own"]).otherwise(x)))[0]
 
 
 def tfidf(tf: Column, dl: Column, n: Column, df: Column) -> Column:
