@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -126,6 +127,53 @@ def test_noun_phrases_and_ranks(spark):
     assert ranks["protein kinase"] == ranks["kinase"]
 
 
+def test_phrases_and_terms_straight_from_texts(spark, monkeypatch):
+    texts = ["The Cell grows. Big tumor cells, of the mouse!", None, "", "...", "of the", "X ΑΣ İx\n\u00e9t\u00e9 a1 don't", "tail noun"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for at_once, most in ((topics.AT_ONCE, topics.ROWS), (5, 2)):
+        monkeypatch.setattr(topics, "AT_ONCE", at_once)
+        monkeypatch.setattr(topics, "ROWS", most)
+        tagged = topics.tag(docs)
+        assert tagged.count() == len(texts)
+        assert rows(topics.tagged_phrases(docs)) == rows(topics.noun_phrases(tagged))
+        kept = tagged.select("doc_id", F.posexplode("tokens")).where(~F.col("col.pos").isin(*topics.scalars.DROP_TAGS))
+        assert rows(topics.tagged_terms(docs)) == rows(kept.select("doc_id", "pos", F.lower("col.token")))
+
+
+def test_convolution_gives_the_ranks_of_affinities(monkeypatch):
+    monkeypatch.setattr(topics, "DENSE", 0)
+    rng = random.Random(3)
+    cases = [[[3]], [[3, 9]], [[5], [5]], [[5], [5], [5, 5]], [[7], [7, 8]], [list(range(0, 3000, 2)), [1], [2999, 3001]]]
+    cases += [[sorted(rng.choices(range(n * 3), k=rng.randint(1, 5))) for _ in range(n)] for n in (2, 20, 150)]
+    for places in cases:
+        assert topics.rank_places(places) == pytest.approx(topics.rank(topics.affinity(places)), rel=1e-9)
+
+
+def test_topics_of_a_long_document(spark):
+    rng = random.Random(4)
+    names = [" ".join(rng.choices([f"w{i}" for i in range(300)], k=rng.randint(1, 5))) for _ in range(300)]
+    known: list[tuple[str, int]] = []  # phrases with their topics, found by comparing each with all before
+    for p in dict.fromkeys(names):
+        near = [t for v, t in known if topics.dice(v, p) > topics.SIMILAR]
+        known.append((p, min(near, default=len({t for _, t in known}))))
+    found = topics.merge_topics([(p, i) for i, p in enumerate(names)])
+    assert {p: i for i, t in enumerate(found) for p in t} == dict(known)
+    phrases = spark.range(6000).select(F.lit(1).cast("long").alias("doc_id"), F.concat_ws(" ", F.concat(F.lit("a"), "id"), F.concat(F.lit("b"), (F.col("id") % 7).cast("string")), F.concat(F.lit("c"), "id"), F.lit("x")).alias("phrase"), F.col("id").cast("int").alias("pos"))
+    began = time.perf_counter()
+    assert topics.topic_rank(phrases).count() == 6000
+    assert time.perf_counter() - began < 30  # each pair of topics had arrays of its own before
+
+
+def test_concepts_of_a_large_block(spark):
+    rows = spark.range(12000).select(F.col("id").alias("doc_id"), F.lit(0).alias("pos"), F.concat(F.lit("abc"), F.col("id").cast("string")).alias("term"))
+    entries = topics.dictionary(rows.select("term").union(rows.select(F.concat("term", F.lit("x y")))).union(rows.where("doc_id < 5").select(F.concat("term", F.lit(" "), F.lit("tail")))).union(rows.where("doc_id >= 11998").select(F.concat("term", F.lit(" tail"))))).where("term not in ('abc11998', 'abc11999')")
+    began = time.perf_counter()
+    got = topics.match_concepts(rows, entries).groupBy("token", "concept").count().collect()
+    assert len(got) == 12000 and {r.concept for r in got if r.token in ("abc11998", "abc11999")} == {"abc11998 tail", "abc11999 tail"}
+    assert time.perf_counter() - began < 40  # all pairs of a block were compared before
+
+
 def test_pagerank_matches_dense_rank(spark):
     w = np.array([[0, 1, 0.5], [1, 0, 0.25], [0.5, 0.25, 0]])
     edges = spark.createDataFrame([(i, j, float(w[i, j])) for i in range(3) for j in range(i)], "src long, dst long, weight double")

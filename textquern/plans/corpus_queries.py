@@ -198,7 +198,7 @@ k AS (SELECT doc_id, low, pos FROM (SELECT *, {_tag_sql()} AS tag FROM t) WHERE
 g AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM k)
 SELECT doc_id, string_agg(low, ' ' ORDER BY pos) AS phrase, CAST(min(pos) AS INTEGER) AS pos FROM g GROUP BY doc_id, run""")
 def noun_phrases(read):
-    return topics.noun_phrases(topics.tag(read("documents")))
+    return topics.tagged_phrases(read("documents"))
 
 
 @query()
