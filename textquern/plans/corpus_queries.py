@@ -204,7 +204,7 @@ def noun_phrases(read):
 @query()
 def topic_rank(read):
     """Ranks of the noun phrases of all documents."""
-    return topics.topic_rank(topics.noun_phrases(topics.tag(read("documents").select("doc_id", "text"))))
+    return topics.topic_rank(topics.tagged_phrases(read("documents")))
 
 
 @query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
