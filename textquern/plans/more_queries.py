@@ -251,7 +251,7 @@ def remaining_inputs(read):
 def concept_rank(read):
     """Ranks of dictionary concepts in all documents."""
     entries = topics.dictionary(read("documents").select(F.explode(F.slice(F.split(F.coalesce("text", F.lit("")), "\\s+"), 1, 3)).alias("term")).where("length(term) > 6"))
-    return topics.concept_rank(topics.tag(read("documents").select("doc_id", "text")), entries)
+    return topics.rank_concepts(topics.tagged_terms(read("documents")), entries)
 
 
 # ---- clusters, by rounds that SQL can unroll
