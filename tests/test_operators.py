@@ -24,6 +24,32 @@ def test_term_weights(docs):
     assert text.corpus_stats(counts.limit(0)).first().avgdl is None
 
 
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_counts_need_no_shuffle_and_rows_of_one_document_meet(spark, monkeypatch):
+    texts = ["Cats cat\nrunning RUNS, ran", None, "", "\n", "one line Ünï 12 a1-b2 İX ΑΣ", "t\nno\nnew", "a a a\na\u00a0b\u2003c_d", "!!"]
+    once = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = lambda df: sorted(map(str, df.collect()))
+    monkeypatch.setattr(text, "ROWS", 2)
+    monkeypatch.setattr(text, "STEMS", 2)
+    for given in ({}, {"with_length": True}, {"stemmed": True}, {"stemmed": True, "with_length": True}, {"title_weight": 1}):
+        counts = text.weighted_counts(once, **given)
+        assert _exchanges(counts) == 0
+        with monkeypatch.context() as m:
+            m.setattr(text, "once_each", lambda docs: False)
+            meeting = text.weighted_counts(once, **given)
+            assert counts.dtypes == meeting.dtypes and rows(counts) == rows(meeting)
+    counts = text.weighted_counts(once, with_length=True)
+    assert _exchanges(text.inverted_index(counts.select("doc_id", "term", F.lit(1.0).alias("weight")), several=False)) == 0
+    twice = spark.createDataFrame([(1, "a\nb"), (1, "b\nc"), (2, "b")], "doc_id long, text string")
+    assert rows(text.weighted_counts(twice).select("doc_id", "term", "tf")) == rows(spark.createDataFrame([(1, "a", 4), (1, "b", 5), (1, "c", 1), (2, "b", 4)], "doc_id long, term string, tf long"))
+    assert {r.doc_id: r.dl for r in text.weighted_counts(twice, with_length=True).collect()} == {1: 10, 2: 4}
+    weights = {(r.doc_id, r.term): r.weight for r in text.weigh(text.weighted_counts(twice, with_length=True), docs=twice).collect()}
+    assert weights[1, "a"] == pytest.approx(0.4 * math.log10(3)) and len(weights) == 4
+
+
 def test_conditionals_are_consistent(spark):
     rng = random.Random(1)
     pairs = spark.createDataFrame([(d, f"l{x}") for d in range(40) for x in rng.sample(range(6), 3)], "doc_id long, label string")
