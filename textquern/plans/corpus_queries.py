@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textquern.functions import scalars
-from textquern.functions.stemmer import stem_terms
+from textquern.functions.stemmer import stem_udf
 from textquern.operators import text, topics
 from textquern.plans.registry import query, scratch
 from textquern.plans.sql import BM25, COUNTS, TFIDF, toks
@@ -68,7 +68,7 @@ def top_terms_per_doc(read):
 
 @query(f"WITH {TFIDF} SELECT term, doc_id, round(weight, 6) AS weight FROM weights WHERE term <> ''")
 def inverted_index(read):
-    return text.inverted_index(_weigh(read, "tfidf")).select("term", "doc_id", _r("weight"))
+    return text.inverted_index(_weigh(read, "tfidf"), several=False).select("term", "doc_id", _r("weight"))
 
 
 @query("""SELECT unnest(string_split(lower(p_name) || ';' || lower(p_type), ';')) AS term, count(*) AS n FROM part GROUP BY 1""")
@@ -182,7 +182,7 @@ def stemmed_counts(read):
 @query()
 def stem_counts(read):
     """Distinct terms and their stems."""
-    return stem_terms(text.doc_freq(_counts(read)))
+    return text.doc_freq(_counts(read)).withColumn("stem", stem_udf("term"))
 
 
 def _tag_sql() -> str:
