@@ -207,6 +207,18 @@ def test_pagerank_matches_dense_rank(spark):
     assert [got[i] for i in range(3)] == pytest.approx(topics.rank(w).tolist())
 
 
+def test_basket_pagerank_makes_no_edges(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(d, f"l{x}") for d in range(60) for x in rng.sample(range(12), rng.randint(1, 4))] + [(99, "alone"), (100, None)]
+    pairs = spark.createDataFrame(rows, "doc_id long, label string")
+    edges = topics.basket_pagerank(pairs.where("label is not null"), nodes=1)
+    expected = {r.node: r.rank for r in edges.collect()}
+    monkeypatch.setattr(labels, "pair_counts", None)
+    got = {r.node: r.rank for r in topics.basket_pagerank(pairs).collect()}
+    assert got == pytest.approx(expected) and "alone" not in got
+    assert topics.basket_pagerank(pairs.where("label = 'alone'")).collect() == []
+
+
 def test_concepts(spark):
     tokens = spark.createDataFrame([(1, 0, "ring"), (1, 1, "ringer"), (1, 2, "zzz")], "doc_id long, pos int, term string")
     entries = topics.dictionary(spark.createDataFrame([("Ring",), ("ring ringer",), (None,)], "term string"))

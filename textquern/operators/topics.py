@@ -10,11 +10,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from textquern.functions import scalars
+from textquern.operators import labels
 from textquern.session import cut, small_batches
 
 SIMILAR = 33.32
@@ -24,6 +25,8 @@ DAMPING, ROUNDS = 0.85, 20
 AT_ONCE, ROWS = 1 << 18, 1 << 14
 #: Places of a document up to which all their distances are held at once; for more, a convolution gives their sums.
 DENSE = 400
+#: Labels whose ranks the driver and every task may hold.
+NODES = 1 << 21
 #: Known phrases with the words of a new one, from which on they are counted in arrays.
 MANY = 64
 
@@ -369,6 +372,57 @@ def weighted_pagerank(edges: DataFrame, rounds: int = ROUNDS, damping: float = D
     return ranks
 
 
+def basket_pagerank(pairs: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, nodes: int = NODES) -> DataFrame:
+    """(node, rank) on the graph of labels that share documents, of distinct (doc_id, label): the ranks of
+    `weighted_pagerank` with the number of common documents as weight.
+
+    No edge is made: what the others of a document send to one of its labels is the document's sum less
+    the label's own, so a round reads each document once. Up to `nodes` labels the ranks are a vector that
+    every task has and the driver adds up; with more the edges are made and joined.
+    """
+    names = cut(pairs.select("label").where("label is not null").distinct())
+    n = names.count()
+    if n > nodes:
+        e = labels.pair_counts(pairs)
+        return weighted_pagerank(e.select(F.col("label_a").alias("src"), F.col("label_b").alias("dst"), F.col("n_docs").cast("double").alias("weight")), rounds, damping)
+    names = cut(names.withColumn("i", F.row_number().over(Window.orderBy("label")) - 1))  # at most `nodes` rows
+    spark = pairs.sparkSession
+    sets = cut(pairs.join(F.broadcast(names), "label").groupBy("doc_id").agg(F.collect_set("i").alias("at")).where("size(at) > 1").select("at"))
+    sets = sets.coalesce(max(1, spark.sparkContext.defaultParallelism))
+
+    def inflow(x: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(n)
+            for batch in batches:
+                column = batch.column(0)
+                starts, at = column.offsets.to_numpy(), column.flatten().to_numpy()
+                if len(at):
+                    starts = starts - starts[0]
+                    values = x[at]
+                    sums = np.add.reduceat(values, starts[:-1])
+                    out += np.bincount(at, np.repeat(sums, np.diff(starts)) - values, n)
+            found = np.flatnonzero(out)
+            for k in range(0, len(found), ROWS):
+                part = found[k : k + ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(out[part])], ["i", "s"])
+
+        total = np.zeros(n)
+        got = sets.mapInArrow(run, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).toArrow()
+        total[got["i"].to_numpy()] = got["s"].to_numpy()
+        return total
+
+    totals = inflow(np.ones(n))
+    share = np.divide(1.0, totals, out=np.zeros(n), where=totals > 0)
+    ranks = np.ones(n)
+    for _ in range(rounds):
+        ranks = (1 - damping) + damping * inflow(ranks * share)
+    some = np.flatnonzero(totals > 0)
+    if not len(some):
+        return names.where("false").select(F.col("label").alias("node"), F.lit(1.0).alias("rank"))
+    found = spark.createDataFrame(pa.table({"i": some.astype(np.int32), "rank": ranks[some]}))
+    return names.join(found, "i").select(F.col("label").alias("node"), "rank")
+
+
 # ---- dictionary concepts
 def dictionary(terms: DataFrame) -> DataFrame:
     """(term, prefix): distinct lower-case terms with their block key, the first three characters."""

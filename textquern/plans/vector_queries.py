@@ -159,8 +159,7 @@ sums AS MATERIALIZED (SELECT src, sum(weight) AS total FROM edges GROUP BY src),
 {_pagerank_rounds()} SELECT node, round(rank, 6) AS rank FROM r20""")
 def label_pagerank(read):
     """Ranks of suppliers on the graph of orders they share."""
-    e = labels.pair_counts(labels.basket_labels(read("lineitem")))
-    ranks = topics.weighted_pagerank(e.select(F.col("label_a").alias("src"), F.col("label_b").alias("dst"), F.col("n_docs").cast("double").alias("weight")))
+    ranks = topics.basket_pagerank(labels.basket_labels(read("lineitem")))
     return ranks.select("node", F.round("rank", 6).alias("rank"))
 
 
