@@ -24,6 +24,22 @@ def test_term_weights(docs):
     assert text.corpus_stats(counts.limit(0)).first().avgdl is None
 
 
+def test_equal_vectors_are_assigned_once(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, f"f{f}", float(x)) for i in range(60) for f, x in [((0, 1), (1, 2)), ((1, 1), (2, 1)), ((2, 3), (0, 1), (3, 1)), ((4, 1),)][rng.randrange(4)]]
+    v = spark.createDataFrame(rows, "vec_id long, feature string, value double")
+    kinds, members = cluster.alike(v)
+    assert kinds.select("vec_id").distinct().count() == 4 and kinds.select("vec_id", "n").distinct().agg(F.sum("n")).first()[0] == 60 == members.count()
+    sets = lambda df: sorted(sorted(map(str, r.m)) for r in df.groupBy("cluster_id").agg(F.collect_list("vec_id").alias("m")).collect())
+    values = lambda df: {(r.cluster_id, r.feature): r.value for r in df.collect()}
+    found = [(cluster.kmeans(v, 3, 3, 2), cluster.leader(v, 0.5, 2))]
+    monkeypatch.setattr(cluster, "KINDS", 0)
+    found.append((cluster.kmeans(v, 3, 3, 2), cluster.leader(v, 0.5, 2)))
+    for one, two in zip(*found):
+        assert sets(one[0]) == sets(two[0]) and values(one[1]) == pytest.approx(values(two[1]))
+        assert sum(map(len, sets(one[0]))) == 60
+
+
 def _exchanges(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
 

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from textquern.operators.vectors import lengths, packed
 from textquern.session import cut
 
+#: Kinds of equal vectors that are broadcast.
+KINDS = 1 << 16
+
 
 def centroids(vectors: DataFrame, membership: DataFrame) -> DataFrame:
     return vectors.join(membership, "vec_id").groupBy("cluster_id", "feature").agg(F.sum("value").alias("value"))
@@ -51,23 +54,48 @@ def seeds(vectors: DataFrame, k: int) -> DataFrame:
     return vectors.join(F.broadcast(numbered), "vec_id").select("cluster_id", "feature", "value")
 
 
+def alike(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((vec_id, feature, value, n), (vec_id, like)): one of each set of equal vectors, the one of the smallest id, with their number, and whom each is like.
+
+    What an assignment does with a vector depends on its entries alone, so equal ones are assigned once.
+    Few kinds are broadcast, counted first; where most vectors differ each stands for itself.
+    """
+    entries = cut(vectors.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("feature", "value"))).alias("v")))
+    kinds = cut(entries.groupBy("v").agg(F.min("vec_id").alias("like"), F.count("*").alias("n")))
+    if kinds.count() > KINDS:
+        kinds = entries.select("v", F.col("vec_id").alias("like"), F.lit(1).cast("long").alias("n"))
+        members = entries.select("vec_id", F.col("vec_id").alias("like"))
+    else:
+        members = cut(entries.join(F.broadcast(kinds.drop("n")), "v").select("vec_id", "like"))
+    return kinds.select(F.col("like").alias("vec_id"), "n", F.explode("v").alias("e")).select("vec_id", "e.feature", "e.value", "n"), members
+
+
+def _weighted_centroids(kinds: DataFrame, membership: DataFrame) -> DataFrame:
+    """`centroids` of kinds (vec_id, feature, value, n), each n times."""
+    return centroids(kinds.select("vec_id", "feature", (F.col("value") * F.col("n")).alias("value")), membership)
+
+
 def kmeans(vectors: DataFrame, k: int, iterations: int = 20, smallest: int = 10, start: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(membership, centroids) after at most `iterations` rounds, or when nothing moves.
 
     Clusters with fewer than `smallest` members are dropped in every round; `start` resumes from
-    centroids that were saved.
+    centroids that were saved. Rounds run over the kinds of vectors.
     """
+    kinds, members = alike(vectors)
+    number = kinds.select("vec_id", "n").distinct()
     centres, before, membership = start if start is not None else seeds(vectors, k), None, None
     for _ in range(iterations):
-        found = cut(assign(vectors, centres))
-        large = found.groupBy("cluster_id").agg(F.count("*").alias("n")).where(F.col("n") >= smallest)
+        found = cut(assign(kinds, centres).join(number, "vec_id"))
+        large = found.groupBy("cluster_id").agg(F.sum("n").alias("n")).where(F.col("n") >= smallest)
         kept = found.join(large, "cluster_id", "left_semi").select("vec_id", "cluster_id")
-        centres = cut(centroids(vectors, kept))
+        centres = cut(_weighted_centroids(kinds, kept))
         mark = kept.agg(F.count("*"), F.sum(F.xxhash64("vec_id", "cluster_id").cast("decimal(38,0)"))).first()
         membership = kept
         if mark == before:
             break
         before = mark
+    if membership is not None:
+        membership = members.join(membership.withColumnRenamed("vec_id", "like"), "like").select("vec_id", "cluster_id")
     return membership, centres
 
 
@@ -120,17 +148,27 @@ def leader(vectors: DataFrame, theta: float = 0.5, rounds: int = 5, largest: flo
         local = maps.groupBy("shard").applyInPandas(lambda key, p: _leader_pass(theta)(p).assign(shard=int(key[0])), "vec_id long, cluster_id long, shard long")
         return local.select("vec_id", (F.col("cluster_id") * shards + F.col("shard") + F.lit(offset)).alias("cluster_id"))
 
+    kinds, members = alike(vectors)
+    one = kinds.drop("n")
+    number = kinds.select("vec_id", "n").distinct()
+
+    def centres_of(membership: DataFrame) -> DataFrame:
+        shares = membership.join(members, "vec_id").groupBy("like", "cluster_id").agg(F.count("*").alias("n"))
+        rows = one.withColumnRenamed("vec_id", "like").join(shares, "like")
+        return rows.groupBy("cluster_id", "feature").agg(F.sum(F.col("value") * F.col("n")).alias("value"))
+
     membership = cut(found(vectors, 0))
-    centres = cut(centroids(vectors, membership))
+    centres = cut(centres_of(membership))
     top = (membership.agg(F.max("cluster_id")).first()[0] or 0) + 1
     for _ in range(rounds):
-        placed = cut(assign(vectors, centres).where(F.col("similarity") > theta).select("vec_id", "cluster_id"))
-        sizes = placed.groupBy("cluster_id").agg(F.count("*").alias("n"))
+        placed = cut(assign(one, centres).where(F.col("similarity") > theta).join(number, "vec_id").select("vec_id", "cluster_id", "n"))
+        sizes = placed.groupBy("cluster_id").agg(F.sum("n").alias("n"))
         mean = sizes.agg(F.avg("n").alias("mean"))
-        kept = placed.join(sizes.join(F.broadcast(mean)).where(F.col("n") <= largest * F.col("mean")), "cluster_id", "left_semi")
+        large = sizes.join(F.broadcast(mean)).where(F.col("n") <= largest * F.col("mean"))
+        kept = members.join(placed.join(large, "cluster_id", "left_semi").select(F.col("vec_id").alias("like"), "cluster_id"), "like").select("vec_id", "cluster_id")
         rest = vectors.join(kept, "vec_id", "left_anti")
         membership = cut(kept.unionByName(found(rest, top)))
-        centres = cut(centroids(vectors, membership))
+        centres = cut(centres_of(membership))
         new_top = (membership.agg(F.max("cluster_id")).first()[0] or 0) + 1
         if new_top <= top:
             break
