@@ -24,6 +24,16 @@ def test_term_weights(docs):
     assert text.corpus_stats(counts.limit(0)).first().avgdl is None
 
 
+def test_training_rows_stay_where_they_are(spark):
+    rng = random.Random(7)
+    rows = spark.createDataFrame([(d, f"f{f}", 1.0) for d in range(40) for f in rng.sample(range(30), rng.randint(1, 9))], "doc_id long, feature string, value double")
+    targets = spark.createDataFrame([(d, d % 2) for d in range(40)], "doc_id long, y int")
+    one, two = (sorted(map(tuple, classify.training_matrix(rows, targets, unique=u).collect())) for u in (True, False))
+    assert one == two and one
+    assert _exchanges(classify.training_matrix(rows, targets, unique=True)) == 2  # both broadcast; rows aren't shuffled
+    assert "ShuffledHashJoin" in rows.join(classify.met(targets, 1), "doc_id", "left_semi")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_equal_vectors_are_assigned_once(spark, monkeypatch):
     rng = random.Random(6)
     rows = [(i, f"f{f}", float(x)) for i in range(60) for f, x in [((0, 1), (1, 2)), ((1, 1), (2, 1)), ((2, 3), (0, 1), (3, 1)), ((4, 1),)][rng.randrange(4)]]

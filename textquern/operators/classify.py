@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textquern.session import cut
+
 ALPHA = 0.15
 
 
@@ -21,17 +23,30 @@ def stratified_sample(targets: DataFrame, n: int, by: str = "y", key: str = "doc
     return ranked.where(F.col("_r") <= F.round(F.lit(float(n)) * F.col("_k") / F.col("_n"))).drop("_r", "_k", "_n")
 
 
-def band_select(rows: DataFrame, targets: DataFrame, low: float = 0.3, high: float = 1.5) -> DataFrame:
-    """(feature): those whose document frequency lies between low and high times the number of positives."""
+def met(rows: DataFrame, most: int = 1 << 21) -> DataFrame:
+    """A small side of a join, of a few numbers or a word a row: broadcast up to `most` rows, counted first, else the hash table of a shuffle."""
+    rows = cut(rows)
+    return F.broadcast(rows) if rows.count() <= most else rows.hint("shuffle_hash")
+
+
+def band_select(rows: DataFrame, targets: DataFrame, low: float = 0.3, high: float = 1.5, unique: bool = False) -> DataFrame:
+    """(feature): those whose document frequency lies between low and high times the number of positives.
+
+    `unique` rows are of the targets' documents alone and have each feature of a document once.
+    """
     positives = targets.agg(F.sum("y").alias("pos"))
-    df = rows.join(targets.select("doc_id"), "doc_id", "left_semi").groupBy("feature").agg(F.count_distinct("doc_id").alias("df"))
+    if unique:
+        df = rows.groupBy("feature").agg(F.count("*").alias("df"))
+    else:
+        df = rows.join(targets.select("doc_id"), "doc_id", "left_semi").groupBy("feature").agg(F.count_distinct("doc_id").alias("df"))
     return df.join(F.broadcast(positives)).where((F.col("df") > low * F.col("pos")) & (F.col("df") < high * F.col("pos"))).select("feature", "df")
 
 
-def training_matrix(rows: DataFrame, targets: DataFrame, n: int | None = None) -> DataFrame:
-    """(doc_id, y, feature, value): sampled documents with the features of the band."""
+def training_matrix(rows: DataFrame, targets: DataFrame, n: int | None = None, unique: bool = False) -> DataFrame:
+    """(doc_id, y, feature, value): sampled documents with the features of the band; `unique` as in `band_select`."""
     chosen = stratified_sample(targets, n) if n else targets
-    return rows.join(band_select(rows, targets).select("feature"), "feature", "left_semi").join(chosen, "doc_id").select("doc_id", "y", "feature", "value")
+    band = met(band_select(rows, targets, unique=unique).select("feature"), 1 << 17)
+    return rows.join(band, "feature", "left_semi").join(met(chosen), "doc_id").select("doc_id", "y", "feature", "value")
 
 
 # ---- naive Bayes

@@ -10,6 +10,7 @@ from textquern.plans.learning_queries import _training
 from textquern.plans.registry import query, scratch
 from textquern.plans.sql import DOC_LABELS, NATIONS, PREDICTED, TRAINING
 from textquern.plans.vector_queries import _membership, nation_vectors
+from textquern.session import cut
 from textquern.sources import corpus
 
 
@@ -131,8 +132,8 @@ band AS (SELECT feature, count(DISTINCT doc_id) AS df FROM rows GROUP BY feature
 SELECT feature, y, count(*) AS n, round(sum(value), 6) AS total FROM rows SEMI JOIN band USING (feature) JOIN targets USING (doc_id) GROUP BY ALL""")
 def training_files(read):
     """A training matrix as sparse lines with a vocabulary file, read again."""
-    rows, path = classify.training_matrix(*_training(read)), scratch(read)
-    corpus.write_training_file(rows, corpus.vocabulary(rows), path)
+    rows, path = cut(classify.training_matrix(*_training(read), unique=True)), scratch(read)
+    corpus.write_training_file(rows, cut(corpus.vocabulary(rows)), path)
     lines, words = corpus.read_training_file(_session(read), path)
     cells = lines.select("y", F.explode("features").alias("c")).select("y", "c.index", F.col("c.weight").alias("value")).join(words, "index")
     return cells.groupBy("feature", "y").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))

@@ -15,8 +15,8 @@ from textquern.session import cut
 
 
 def _training(read):
-    targets = read("labels").groupBy("doc_id").agg(F.max("quality").alias("y"))
-    counts = text.weighted_counts(read("documents").join(targets, "doc_id", "left_semi"))
+    targets = cut(read("labels").groupBy("doc_id").agg(F.max("quality").alias("y")))
+    counts = text.weighted_counts(read("documents").join(classify.met(targets.select("doc_id")), "doc_id", "left_semi"))
     return counts.select("doc_id", F.col("term").alias("feature"), F.col("tf").cast("double").alias("value")), targets
 
 
@@ -56,12 +56,12 @@ band AS (SELECT feature, count(DISTINCT doc_id) AS df FROM rows GROUP BY feature
 
 @query(f"WITH {_BAND} SELECT feature, df FROM band")
 def feature_band_select(read):
-    return classify.band_select(*_training(read))
+    return classify.band_select(*_training(read), unique=True)
 
 
 @query(f"WITH {_BAND} SELECT doc_id, y, feature, value FROM rows SEMI JOIN band USING (feature) JOIN targets USING (doc_id)")
 def training_matrix(read):
-    return classify.training_matrix(*_training(read))
+    return classify.training_matrix(*_training(read), unique=True)
 
 
 @query("""WITH t AS (SELECT doc_id, max(quality) AS y FROM labels GROUP BY doc_id), k AS (SELECT y, count(*) AS k FROM t GROUP BY y), n AS (SELECT count(*) AS n FROM t),

@@ -199,7 +199,7 @@ SELECT doc_id, feature, value FROM rows SEMI JOIN band USING (feature) WHERE doc
 def document_features(read):
     """Vectors of the toxic documents over the selected features of quality."""
     rows, targets = _training(read)
-    return classify.document_features(rows, classify.band_select(rows, targets), read("labels").where("toxic = 1").select("doc_id"))
+    return classify.document_features(rows, classify.band_select(rows, targets, unique=True), read("labels").where("toxic = 1").select("doc_id"))
 
 
 # ---- topics and concepts
