@@ -34,6 +34,14 @@ def test_training_rows_stay_where_they_are(spark):
     assert "ShuffledHashJoin" in rows.join(classify.met(targets, 1), "doc_id", "left_semi")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_weights_move_once_for_their_ranks(spark):
+    weights = spark.createDataFrame([(d, f"t{i}", round(i % 3 / 7, 12)) for d in range(3) for i in range(6)], "doc_id long, term string, weight double")
+    ranked = text.top_terms(weights, 3)
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") > plan.rindex("Sort ")  # nothing is sorted before it
+    assert sorted((r.doc_id, r.rank, r.term) for r in ranked.collect()) == [(d, k + 1, t) for d in range(3) for k, t in enumerate(("t2", "t5", "t1"))]
+
+
 def test_equal_vectors_are_assigned_once(spark, monkeypatch):
     rng = random.Random(6)
     rows = [(i, f"f{f}", float(x)) for i in range(60) for f, x in [((0, 1), (1, 2)), ((1, 1), (2, 1)), ((2, 3), (0, 1), (3, 1)), ((4, 1),)][rng.randrange(4)]]

@@ -153,9 +153,13 @@ def weigh(counts: DataFrame, weight: str = "tfidf", exact_avgdl: bool = False, d
 
 
 def top_terms(weights: DataFrame, k: int = 10) -> DataFrame:
-    """(doc_id, rank, term, weight): the k heaviest terms of each document."""
+    """(doc_id, rank, term, weight): the k heaviest terms of each document.
+
+    Weights move to their document first: ranking before that sorts them once more and drops next to none,
+    as few terms of a document are in one place.
+    """
     order = Window.partitionBy("doc_id").orderBy(F.round("weight", 9).desc(), "term")
-    return weights.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("doc_id", "rank", "term", "weight")
+    return weights.repartition("doc_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("doc_id", "rank", "term", "weight")
 
 
 def inverted_index(weights: DataFrame, several: bool = True) -> DataFrame:
